@@ -90,18 +90,18 @@ def evidence(text: str) -> dict[str, float]:
                 best[code] = seqs
         for code, seqs in best.items():
             if (total := sum(_weight(code, s) for s in seqs)) > 0:
-                out[f"utf-8>{code}"] = min(total, MOST)
+                out[f"utf-8>{code}"] = total
         for wrote, read in ONE_BYTE:
             if runs := _WORDS[wrote, read].findall(rest):
                 total = sum(min(3.0 * (len(r) - 2), SURE) for r in runs)
                 if total:
-                    out[f"{wrote}>{read}"] = min(total, MOST)
+                    out[f"{wrote}>{read}"] = total
         if "�" in text:
-            out["lost>replacement"] = MOST
+            out["lost>replacement"] = float(MOST)
     if "?" in text:
         plain = _LINKS.sub(" ", text)
         if total := SURE * len(_MARKS.findall(plain)) + CHANCE * len(_INSIDE.findall(plain)):
-            out["lost>question marks"] = min(total, MOST)
+            out["lost>question marks"] = total
     return out
 
 
@@ -137,6 +137,7 @@ def chain_evidence(messages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(i, c, v) for i, t in enumerate(b.column("text").to_pylist()) for c, v in evidence(t).items()]
+            found = [(i, c, min(v, float(MOST))) for i, c, v in found]
             at = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(n).take(at) for n in ("msg_id", "source", "field")), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64())],
