@@ -137,9 +137,10 @@ def plan(sized_docs: DataFrame, targets: DataFrame, total_tokens: float | None =
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, folder: str | None = None) -> DataFrame:
     """``doc_id, source, tokens, copies``: the documents taken, each at most ``max_repeats`` times.
 
-    A document of a cell with weight w comes floor(w) times and once more when its u lies below the cell's cut. The cut
-    is calibrated on a histogram of the cell's tokens over u, so that the taken tokens, not only their expectation, meet
-    the weight. Sources without target and targets without documents take no part; null texts neither.
+    A document of a cell with weight w comes floor(w) times, and once more when its u lies below a cut times the rest
+    of w. The cut is near 1 and calibrated per source, on a histogram of its tokens over u by the rest, so that the taken
+    tokens meet the share and not only their expectation. Sources without target, targets without documents and null
+    texts take no part.
     """
     from ..session import cut_lineage
 
@@ -149,24 +150,24 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
         return docs.select("doc_id", "source", "tokens", F.lit(0).cast("bigint").alias("copies")).limit(0)
     spark = documents.sparkSession
     weights = F.broadcast(spark.createDataFrame([c[:4] for c in cells], "source string, language string, topic string, weight double"))
-    keys = ["source", "language", "topic"]
-    rows = docs.where("tokens > 0").join(weights, keys).withColumn("bin", F.floor(F.col("u") * BINS))
-    bins = rows.groupBy(*keys, "weight", "bin").agg(F.sum("tokens").alias("t"))
-    # Cut: the bin at which the cell's running tokens come nearest to the wanted part of them.
-    by = bins.groupBy(*keys, "weight").agg(F.sort_array(F.collect_list(F.struct("bin", "t"))).alias("bins"), F.sum("t").alias("all"))
-    want = (F.col("weight") - F.floor("weight")) * F.col("all")
+    rest = F.col("weight") - F.floor("weight")
+    rows = docs.where("tokens > 0").join(weights, ["source", "language", "topic"]).withColumn("rest", rest)
+    rows = rows.withColumn("bin", F.when(F.col("rest") > 0, F.least(F.floor(F.col("u") / F.col("rest") * (BINS // 2)), F.lit(BINS).cast("bigint"))).otherwise(BINS))
+    bins = rows.groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("rest")).alias("w"))
+    # Cut: the bin at which the source's running tokens come nearest to the wanted ones.
+    by = bins.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("bin", "t"))).alias("bins"), F.sum("w").alias("want"))
     run = F.aggregate(
-        "bins",
-        F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("cut"), want.alias("gap")),
+        F.filter("bins", lambda b: b["bin"] < BINS),
+        F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("cut"), F.col("want").alias("gap")),
         lambda a, b: F.struct(
             (a["sum"] + b["t"]).alias("sum"),
-            F.when(F.abs(a["sum"] + b["t"] - want) < a["gap"], b["bin"] + 1).otherwise(a["cut"]).alias("cut"),
-            F.least(a["gap"], F.abs(a["sum"] + b["t"] - want)).alias("gap"),
+            F.when(F.abs(a["sum"] + b["t"] - F.col("want")) < a["gap"], b["bin"] + 1).otherwise(a["cut"]).alias("cut"),
+            F.least(a["gap"], F.abs(a["sum"] + b["t"] - F.col("want"))).alias("gap"),
         ),
     )
-    cuts = F.broadcast(by.select(*keys, run["cut"].alias("cut")))  # bounded: one row per cell
+    cuts = F.broadcast(by.select("source", run["cut"].alias("cut")))  # bounded: one row per target source
     copies = F.floor("weight") + F.when(F.col("bin") < F.col("cut"), 1).otherwise(0)
-    return rows.join(cuts, keys).select("doc_id", "source", "tokens", copies.cast("bigint").alias("copies")).where("copies > 0")
+    return rows.join(cuts, "source").select("doc_id", "source", "tokens", copies.cast("bigint").alias("copies")).where("copies > 0")
 
 
 def shares(taken: DataFrame, targets: DataFrame) -> DataFrame:
