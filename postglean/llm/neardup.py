@@ -20,8 +20,8 @@ from ..session import cut_lineage
 WORD = re.compile(r"[^\W_]+")
 #: Least distinct words of a message, least share of common words.
 LEAST_WORDS, THRESHOLD = 25, 0.7
-#: At 0.7 a pair meets in one of 72 bands of 7 places with probability 0.998; unrelated texts (0.2) with 0.0009.
-BANDS, ROWS = 72, 7
+#: At 0.7 a pair meets in one of 96 bands of 7 places with probability 0.9997; unrelated texts (0.2) with 0.0012.
+BANDS, ROWS = 96, 7
 #: Bytes of the sketch that candidates are compared by first, and how many must agree (0.7 fails with 5e-6).
 SKETCH, SKETCH_AGREE = 64, 29
 CACHED_WORDS = 40_000
