@@ -100,12 +100,13 @@ def words_of(*texts: str | None) -> set[str]:
 
 
 def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 32-bit hash per band; the number of the band goes with it, so chance meetings stay rare at any size."""
     with np.errstate(over="ignore"):
         out = np.tile(_mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN), (len(signatures), 1))
         parts = signatures[:, : bands * rows].reshape(len(signatures), bands, rows).astype(np.uint64)
         for r in range(rows):
             out = _mix(out * _GOLDEN + parts[:, :, r])
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def fingerprints(messages: DataFrame, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -137,7 +138,7 @@ def fingerprints(messages: DataFrame, least_words: int = LEAST_WORDS, bands: int
                     names=["msg_id", "same", "words", "bands", "sketch"],
                 )
 
-    return messages.select("msg_id", "subject", "body_plain").where("msg_id is not null").mapInArrow(run, "msg_id bigint, same binary, words array<bigint>, bands array<bigint>, sketch binary")
+    return messages.select("msg_id", "subject", "body_plain").where("msg_id is not null").mapInArrow(run, "msg_id bigint, same binary, words array<bigint>, bands array<int>, sketch binary")
 
 
 def linked(messages: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -151,8 +152,8 @@ def linked(messages: DataFrame, threshold: float = THRESHOLD, least_words: int =
     best = prints.groupBy("same").agg(F.min("msg_id").alias("class"))
     members = prints.select("msg_id", "same").join(best, "same").select("msg_id", "class")
     reps = prints.join(best.select(F.col("class").alias("msg_id")).distinct(), "msg_id", "left_semi").dropDuplicates(["msg_id"])
-    banded = reps.select(F.explode("bands").alias("band"), F.col("msg_id").alias("id"))
-    pairs = banded.withColumnRenamed("id", "a").join(banded.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
+    banded = reps.select(F.posexplode("bands").alias("band", "hash"), F.col("msg_id").alias("id"))
+    pairs = banded.withColumnRenamed("id", "a").join(banded.withColumnRenamed("id", "b"), ["band", "hash"]).where("a < b").select("a", "b").distinct()
 
     def add(df: DataFrame, side: str, column: str) -> DataFrame:
         return df.join(reps.select(F.col("msg_id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
