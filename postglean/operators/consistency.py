@@ -46,8 +46,8 @@ def claims(text: Column, key: str, shown: str) -> Column:
     return low.contains(key) | low.contains(shown.lower())
 
 
-def identity_features(policy: Policy, display: Column, subject: Column, from_addr: Column, reply_to: Column, folded: Column | None = None, history: Column | None = None) -> Column:
-    """Struct of the five identity features; ``folded`` may give the folded sender domain, ``history`` its mismatch."""
+def identity_features(policy: Policy, display: Column, subject: Column, from_addr: Column, reply_to: Column, folded: Column | None = None, history: Column | None = None) -> dict[str, Column]:
+    """By name: the five identity features; ``folded`` may give the folded sender domain, ``history`` its mismatch."""
     sender, reply = clean_domain(from_addr), clean_domain(reply_to)
     shown = domain_in_text(display)
     text = F.concat_ws(" ", text_or_empty(display), text_or_empty(subject))
@@ -61,17 +61,17 @@ def identity_features(policy: Policy, display: Column, subject: Column, from_add
     visual_any, other_any = _any(visual), _any(other)
     known = belongs_to(reply, tuple(d for _, ds in policy.brands.values() for d in ds))
     differs = (reply != "") & (sender != "") & (reply != sender)
-    return F.struct(
-        F.greatest(F.when((shown != "") & (sender != "") & (shown != sender), 0.8).otherwise(0.0), F.when(other_any, 0.5).otherwise(0.0)).alias("sender_identity_mismatch"),
-        F.when(~differs, 0.0).when(known, 0.2).when(belongs_to(reply, policy.mailing_domains), 0.15).otherwise(0.7).alias("replyto_identity_mismatch"),
-        F.when(visual_any, 0.9).when(other_any, 0.6).otherwise(0.0).alias("brand_domain_mismatch"),
-        F.when(visual_any, 0.9).otherwise(0.0).alias("brand_visual_domain_mismatch"),
-        (F.lit(0.0) if history is None else F.coalesce(history, F.lit(0.0))).alias("identity_history_mismatch"),
-    )
+    return {
+        "sender_identity_mismatch": F.greatest(F.when((shown != "") & (sender != "") & (shown != sender), 0.8).otherwise(0.0), F.when(other_any, 0.5).otherwise(0.0)),
+        "replyto_identity_mismatch": F.when(~differs, 0.0).when(known, 0.2).when(belongs_to(reply, policy.mailing_domains), 0.15).otherwise(0.7),
+        "brand_domain_mismatch": F.when(visual_any, 0.9).when(other_any, 0.6).otherwise(0.0),
+        "brand_visual_domain_mismatch": F.when(visual_any, 0.9).otherwise(0.0),
+        "identity_history_mismatch": (F.lit(0.0) if history is None else F.coalesce(history, F.lit(0.0))),
+    }
 
 
-def link_features(urls: Column, image_text: Column, qr_urls: Column, visible: Column) -> Column:
-    """Struct of the four link features over the links with shown text, the image's text and the code's targets."""
+def link_features(urls: Column, image_text: Column, qr_urls: Column, visible: Column) -> dict[str, Column]:
+    """By name: the four link features over the links with shown text, the image's text and the code's targets."""
     shown = F.filter(urls, lambda u: F.trim(text_or_empty(u["display_text"])) != "")
     n = F.size(shown)
     part = lambda f: F.when(n > 0, F.size(F.filter(shown, f)) / n).otherwise(0.0)
@@ -80,12 +80,12 @@ def link_features(urls: Column, image_text: Column, qr_urls: Column, visible: Co
     seen = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(image_text)), F.lit(DOMAIN_PATTERN), F.lit(1)))
     codes = F.filter(F.transform(F.coalesce(qr_urls, F.array().cast("array<string>")), host), lambda h: h != "")
     low = F.lower(text_or_empty(visible))
-    return F.struct(
-        part(lambda u: F.coalesce(u["display_text_mismatch"], F.lit(False))).alias("display_href_mismatch"),
-        part(lambda u: (in_text(u) != "") & (text_or_empty(u["domain"]) != "") & (in_text(u) != u["domain"])).alias("display_domain_mismatch"),
-        F.when((F.size(seen) > 0) & (F.size(domains) == 0), 0.5).when((F.size(seen) > 0) & ~F.arrays_overlap(seen, domains), 0.8).otherwise(0.0).alias("ocr_url_mismatch"),
-        F.when((F.size(codes) > 0) & ~F.exists(codes, lambda h: F.contains(low, h)), 0.7).otherwise(0.0).alias("qr_context_mismatch"),
-    )
+    return {
+        "display_href_mismatch": part(lambda u: F.coalesce(u["display_text_mismatch"], F.lit(False))),
+        "display_domain_mismatch": part(lambda u: (in_text(u) != "") & (text_or_empty(u["domain"]) != "") & (in_text(u) != u["domain"])),
+        "ocr_url_mismatch": F.when((F.size(seen) > 0) & (F.size(domains) == 0), 0.5).when((F.size(seen) > 0) & ~F.arrays_overlap(seen, domains), 0.8).otherwise(0.0),
+        "qr_context_mismatch": F.when((F.size(codes) > 0) & ~F.exists(codes, lambda h: F.contains(low, h)), 0.7).otherwise(0.0),
+    }
 
 
 def declared_type_mismatch(name: Column, declared: Column) -> Column:
@@ -96,19 +96,18 @@ def declared_type_mismatch(name: Column, declared: Column) -> Column:
     return F.when((low != "") & wrong, 0.6).otherwise(0.0)
 
 
-def semantic_features(subject: Column, body: Column, urls: Column, attachments: Column) -> Column:
-    """Struct of the four content features from the word sets of subject, body, links and file names."""
-    words, head = token_set(body), token_set(subject)
+def semantic_features(head: Column, words: Column, urls: Column, attachments: Column) -> dict[str, Column]:
+    """By name: the four content features from the word sets of subject and body (``token_set``), links and file names."""
     filled = F.size(words) > 0
     link_words = lambda u: F.array_union(token_set(F.regexp_replace(text_or_empty(u["domain"]), "[.-]", " ")), token_set(u["normalized"]))
     best_link = F.array_max(F.transform(urls, lambda u: containment(link_words(u), words)))
     best_file = F.array_max(F.transform(attachments, lambda a: containment(token_set(a["filename"]), words)))
-    return F.struct(
-        F.when(filled & (F.size(urls) > 0), clamp(0.7 - best_link)).otherwise(0.0).alias("text_url_semantic_mismatch"),
-        F.when(filled & (F.size(head) > 0), clamp(0.8 - containment(head, words))).otherwise(0.0).alias("subject_body_mismatch"),
-        F.when(filled & (F.size(attachments) > 0), clamp(0.7 - best_file)).otherwise(0.0).alias("attachment_context_mismatch"),
-        F.coalesce(F.array_max(F.transform(attachments, lambda a: declared_type_mismatch(a["filename"], a["content_type"]))), F.lit(0.0)).alias("attachment_filename_mime_mismatch"),
-    )
+    return {
+        "text_url_semantic_mismatch": F.when(filled & (F.size(urls) > 0), clamp(0.7 - best_link)).otherwise(0.0),
+        "subject_body_mismatch": F.when(filled & (F.size(head) > 0), clamp(0.8 - containment(head, words))).otherwise(0.0),
+        "attachment_context_mismatch": F.when(filled & (F.size(attachments) > 0), clamp(0.7 - best_file)).otherwise(0.0),
+        "attachment_filename_mime_mismatch": F.coalesce(F.array_max(F.transform(attachments, lambda a: declared_type_mismatch(a["filename"], a["content_type"]))), F.lit(0.0)),
+    }
 
 
 def contradiction(features: dict[str, Column]) -> tuple[Column, Column]:

@@ -29,15 +29,15 @@ def rank_score(score: Column, sev: Column, confidence: Column) -> Column:
     return F.round(score * _weight(sev, SEVERITY, 0.0) * _weight(confidence, CONFIDENCE, 0.5), 6)
 
 
-def item(category: str, feature: Column | str, value: Column, score: Column, module: str, sev: Column | None = None, confidence: str = "medium", entity: Column | None = None) -> Column:
+def item(category: Column | str, feature: Column | str, value: Column, score: Column, module: Column | str, sev: Column | None = None, confidence: str = "medium", entity: Column | None = None) -> Column:
     """One evidence struct."""
-    f = F.lit(feature) if isinstance(feature, str) else feature
+    category, f, module = (F.lit(x) if isinstance(x, str) else x for x in (category, feature, module))
     s = clamp(score)
     level = severity(s) if sev is None else sev
     v = value.cast("string")
     return F.struct(
-        evidence_id(F.lit(category), f, v, F.lit(module)).alias("evidence_id"), F.lit(category).alias("category"), f.alias("feature"), v.alias("value"), s.alias("normalized_score"),
-        level.alias("severity"), F.lit(confidence).alias("confidence"), F.lit(module).alias("source_module"), rank_score(s, level, F.lit(confidence)).alias("rank_score"),
+        evidence_id(category, f, v, module).alias("evidence_id"), category.alias("category"), f.alias("feature"), v.alias("value"), s.alias("normalized_score"),
+        level.alias("severity"), F.lit(confidence).alias("confidence"), module.alias("source_module"), rank_score(s, level, F.lit(confidence)).alias("rank_score"),
         (F.lit(None).cast("string") if entity is None else entity).alias("related_entity"), f.alias("explanation_key"),
     )
 

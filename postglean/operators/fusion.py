@@ -47,16 +47,15 @@ def disagreement(risks: Column) -> Column:
     return F.when(n >= 2, clamp(2 * spread)).otherwise(0.0)
 
 
-def uncertainty_report(risks: Column, missing: Column, probability: Column) -> Column:
-    """Struct of uncertainty, confidence, margin, agreement and disagreement, rounded to 4 places.
+def uncertainty_report(d: Column, missing: Column | int, probability: Column) -> dict[str, Column]:
+    """Uncertainty, confidence, margin, agreement and disagreement, rounded to 4 places.
 
-    ``risks``: the non-null component risks; ``missing``: how many of the eight components gave none.
+    ``d``: the :func:`disagreement` of the non-null component risks; ``missing``: how many of the eight components gave none.
     """
-    d = disagreement(risks)
     margin = clamp(F.abs(probability - 0.5) * 2)
     u = clamp(0.7 * d + 0.2 * missing / len(COMPONENTS) + 0.1 * (1 - margin))
     sure = clamp(F.greatest(probability, 1 - probability) * (1 - 0.5 * u))
-    return F.struct(F.round(u, 4).alias("uncertainty"), F.round(sure, 4).alias("confidence"), F.round(margin, 4).alias("margin"), F.round(1 - d, 4).alias("component_agreement"), F.round(d, 4).alias("component_disagreement"))
+    return {"uncertainty": F.round(u, 4), "confidence": F.round(sure, 4), "margin": F.round(margin, 4), "component_agreement": F.round(1 - d, 4), "component_disagreement": F.round(d, 4)}
 
 
 def reasons(tactic_scores: dict[str, Column], threshold: float) -> Column:

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import robust
+from ..functions.once import once
 from ..functions.text import text_or_empty, token_set, STOPWORDS
 from .headers import clean_domain
 
@@ -70,12 +71,13 @@ def sender_state(obs: DataFrame) -> DataFrame:
         "url_counts": F.collect_list(learn(F.col("n_urls"))).over(recent), "days": F.collect_list(learn(F.col("day"))).over(recent),
         "usual_hour": robust.circular_hour(F.sum(learn(F.sin(angle))).over(recent), F.sum(learn(F.cos(angle))).over(recent)),
     })
-    for name, samples in (("interval", "intervals"), ("length", "lengths"), ("url", "url_counts")):
-        rows = rows.withColumn(f"{name}_median", robust.median(F.col(samples))).withColumn(f"{name}_mad", robust.mad(F.col(samples), F.col(f"{name}_median")))
+    samples = (("interval", "intervals"), ("length", "lengths"), ("url", "url_counts"))
+    rows = once(rows, **{f"{name}_median": robust.median(F.col(x)) for name, x in samples})
+    rows = once(rows, **{f"{name}_mad": robust.mad(F.col(x), F.col(f"{name}_median")) for name, x in samples})
     counts = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.struct(F.size(F.filter("days", lambda x: x == d)).alias("n"), (-d).alias("d")))
     best = F.array_max(counts)
-    rows = rows.withColumn("usual_day", F.when((F.size("days") > 0) & (best["n"] / F.size("days") >= 0.5), -best["d"]))
-    return rows.withColumn("n_intervals", F.size("intervals")).drop("intervals", "lengths", "url_counts", "days")
+    rows = once(rows, _best=best).withColumn("usual_day", F.when((F.size("days") > 0) & (F.col("_best.n") / F.size("days") >= 0.5), -F.col("_best.d")))
+    return rows.withColumn("n_intervals", F.size("intervals")).drop("intervals", "lengths", "url_counts", "days", "_best")
 
 
 def first_seen(obs: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -105,7 +107,7 @@ def relation_state(obs: DataFrame) -> DataFrame:
     past, recent = _past("sender", "recipient"), _recent("sender", "recipient")
     rows = obs.withColumn("pair_interval", (F.unix_micros("at") - F.unix_micros(F.max(F.when(F.col("learnable"), F.col("at"))).over(past))) / 1e6)
     rows = rows.withColumn("pair_n", _count(None, past)).withColumn("pair_files", _count(F.col("n_files") > 0, past)).withColumn("_i", F.collect_list(F.when(F.col("learnable") & (F.col("pair_interval") >= 0), F.col("pair_interval"))).over(recent))
-    rows = rows.withColumn("pair_median", robust.median(F.col("_i"))).withColumn("pair_mad", robust.mad(F.col("_i"), F.col("pair_median"))).withColumn("pair_intervals", F.size("_i"))
+    rows = once(once(rows, pair_median=robust.median(F.col("_i"))), pair_mad=robust.mad(F.col("_i"), F.col("pair_median"))).withColumn("pair_intervals", F.size("_i"))
     return rows.select("msg_id", "pair_n", "pair_files", "pair_interval", "pair_median", "pair_mad", "pair_intervals")
 
 

@@ -22,27 +22,27 @@ def _has(low: Column, marks: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(m) for m in marks])
 
 
-def tactics(text: Column, has_urls: Column, has_files: Column, has_qr: Column) -> Column:
-    """Struct of the six tactics; null text reads as ''."""
+def tactics(text: Column, has_urls: Column, has_files: Column, has_qr: Column) -> dict[str, Column]:
+    """By name the six tactics; null text reads as ''."""
     low = F.lower(text_or_empty(text))
     urgency, authority = tactic(text, "urgency"), tactic(text, "authority")
     credential = F.greatest(tactic(text, "credential_request"), F.when(_has(low, PASSWORD_MARKS), 0.5).otherwise(0.0))
     payment = F.greatest(tactic(text, "financial"), F.when(_has(low, GIFT_MARKS), 0.7).otherwise(0.0))
     bait = F.when(has_urls & _has(low, LINK_MARKS), 0.6).when(has_urls & ((urgency > 0) | (credential > 0)), 0.4).otherwise(0.0)
-    return F.struct(
-        urgency.alias("urgency"), authority.alias("authority_impersonation"), credential.alias("credential_request"), payment.alias("payment_gift_card"),
-        F.greatest(bait, F.when(has_qr, 0.5).otherwise(0.0)).alias("link_bait"), F.when(has_files | _has(low, ATTACHMENT_MARKS), 0.6).otherwise(0.0).alias("attachment_lure"),
-    )
+    return {
+        "urgency": urgency, "authority_impersonation": authority, "credential_request": credential, "payment_gift_card": payment,
+        "link_bait": F.greatest(bait, F.when(has_qr, 0.5).otherwise(0.0)), "attachment_lure": F.when(has_files | _has(low, ATTACHMENT_MARKS), 0.6).otherwise(0.0),
+    }
 
 
-def intents(t: Column, url_suspicious: Column, brand: Column, replyto: Column, attachment_risk: Column, auth_fail: Column) -> Column:
-    """Struct of the six derived scores from the tactics and five technical signals."""
+def intents(t: dict[str, Column], url_suspicious: Column, brand: Column, replyto: Column, attachment_risk: Column, auth_fail: Column) -> dict[str, Column]:
+    """By name: the six derived scores from the tactics and five technical signals."""
     credential, payment, authority, urgency = t["credential_request"], t["payment_gift_card"], t["authority_impersonation"], t["urgency"]
-    return F.struct(
-        clamp(credential * F.greatest(url_suspicious, brand)).alias(INTENT_NAMES[0]),
-        clamp(payment * F.greatest(F.lit(0.4), authority, replyto, 0.9 * urgency)).alias(INTENT_NAMES[1]),
-        clamp(credential * F.greatest(brand, auth_fail, F.lit(0.3))).alias(INTENT_NAMES[2]),
-        clamp(authority * payment * (0.6 + 0.4 * replyto)).alias(INTENT_NAMES[3]),
-        clamp(t["attachment_lure"] * F.greatest(attachment_risk, F.lit(0.3))).alias(INTENT_NAMES[4]),
-        clamp(F.greatest(urgency, authority) * (0.5 + 0.5 * F.greatest(t["link_bait"], t["attachment_lure"]))).alias(INTENT_NAMES[5]),
-    )
+    return {
+        INTENT_NAMES[0]: clamp(credential * F.greatest(url_suspicious, brand)),
+        INTENT_NAMES[1]: clamp(payment * F.greatest(F.lit(0.4), authority, replyto, 0.9 * urgency)),
+        INTENT_NAMES[2]: clamp(credential * F.greatest(brand, auth_fail, F.lit(0.3))),
+        INTENT_NAMES[3]: clamp(authority * payment * (0.6 + 0.4 * replyto)),
+        INTENT_NAMES[4]: clamp(t["attachment_lure"] * F.greatest(attachment_risk, F.lit(0.3))),
+        INTENT_NAMES[5]: clamp(F.greatest(urgency, authority) * (0.5 + 0.5 * F.greatest(t["link_bait"], t["attachment_lure"]))),
+    }

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python finds it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_postglean_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="postglean-")) / "postglean.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._postglean_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of ``folder``; filters and columns reach the Parquet scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
