@@ -15,7 +15,7 @@ def edges(messages: DataFrame) -> DataFrame:
     """
     sender = F.lower(text_or_empty(F.col("from_addr")))
     everyone = F.array_distinct(F.concat(F.coalesce("recipients", F.array().cast("array<string>")), F.coalesce("cc", F.array().cast("array<string>"))))
-    sent = messages.select(sender.alias("src"), F.lower(F.explode(everyone)).alias("dst"), F.lit("SENT").alias("type"), F.col("ingested_at").alias("at"))
+    sent = messages.select(sender.alias("src"), F.explode(F.transform(everyone, F.lower)).alias("dst"), F.lit("SENT").alias("type"), F.col("ingested_at").alias("at"))
     links = messages.select(F.concat(F.lit("message:"), F.col("msg_id").cast("string")).alias("m"), F.explode("urls").alias("u"), F.col("ingested_at").alias("at"))
     contains = links.select(F.col("m").alias("src"), F.concat(F.lit("url:"), F.col("u.normalized")).alias("dst"), F.lit("CONTAINS").alias("type"), "at")
     hosted = links.where("u.domain <> ''").select(F.concat(F.lit("url:"), F.col("u.normalized")).alias("src"), F.concat(F.lit("domain:"), F.lower("u.domain")).alias("dst"), F.lit("HOSTED_ON").alias("type"), "at")
