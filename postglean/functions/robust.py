@@ -10,7 +10,8 @@ Z_THRESHOLD = 3.5
 
 
 def clamp(x: Column) -> Column:
-    return F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0))
+    """``x`` between 0 and 1; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0)))
 
 
 def median(values: Column) -> Column:
@@ -33,7 +34,7 @@ def robust_z(x: Column, centre: Column, spread: Column) -> Column:
 
 
 def score_of_z(z: Column, threshold: float = Z_THRESHOLD) -> Column:
-    return F.least(F.abs(z) / threshold, F.lit(1.0))
+    return F.when(z.isNotNull(), F.least(F.abs(z) / threshold, F.lit(1.0)))
 
 
 def novelty(seen: Column, total: Column) -> Column:
@@ -49,9 +50,9 @@ def circular_hour(sum_sin: Column, sum_cos: Column) -> Column:
 
 def hour_anomaly(hour: Column, typical: Column) -> Column:
     gap = F.pmod(F.abs(hour - typical), F.lit(24.0))
-    return F.coalesce(F.least(F.least(gap, 24.0 - gap) / 12.0, F.lit(1.0)), F.lit(0.0))
+    return F.when(gap.isNull(), 0.0).otherwise(F.least(F.least(gap, 24.0 - gap) / 12.0, F.lit(1.0)))
 
 
 def weekday_anomaly(day: Column, typical: Column) -> Column:
     gap = F.pmod(F.abs(day - typical), F.lit(7))
-    return F.coalesce(F.least(F.least(gap, 7 - gap) / 3.0, F.lit(1.0)), F.lit(0.0))
+    return F.when(gap.isNull(), 0.0).otherwise(F.least(F.least(gap, 7 - gap) / 3.0, F.lit(1.0)))

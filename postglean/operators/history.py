@@ -133,7 +133,7 @@ def behaviour(obs: DataFrame) -> DataFrame:
     divergence = lambda p, v: F.when(c(v) == 0, 0.0).when(F.size("words") == 0, 1.0).otherwise(1 - c(f"{p}_known") / (F.size("words") + c(v) - c(f"{p}_known")))
     share = F.when(n > 0, F.col("n_with_files") / n).otherwise(0.0)
     pair_share = F.when(F.col("pair_n") > 0, F.col("pair_files") / F.col("pair_n")).otherwise(0.0)
-    burst = F.least(F.greatest(-z("interval", "interval_median", "interval_mad"), F.lit(0.0)) / robust.Z_THRESHOLD, F.lit(1.0))
+    burst = F.least(F.greatest(0.0 - z("interval", "interval_median", "interval_mad"), F.lit(0.0)) / robust.Z_THRESHOLD, F.lit(1.0))
     reply = F.when(known, robust.novelty(F.col("n_reply_domain"), F.col("n_reply"))).otherwise(0.0)
     scores = {
         "sender_newness_score": F.when(known, 1 / (1 + n / 5.0)).otherwise(1.0),
