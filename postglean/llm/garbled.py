@@ -20,7 +20,7 @@ READ_AS = ("cp1252", "cp850", "cp437", "mac_roman", "cp1251")
 #: One-byte chains: (written in, read as).
 ONE_BYTE = (("cp1251", "cp1252"),)
 #: Log-likelihood ratios of one sequence against clean text: surely garbled, readable as chance, decodes to a rare sign.
-SURE, CHANCE, RARE = 9.0, 1.5, -0.5
+SURE, CHANCE, WEAK, RARE = 9.0, 1.5, 0.6, -0.5
 LEAST, MOST = -4, 24
 #: Prior share of affected records, its weight in records, accepted posterior, iterations, parts of a hot source.
 PRIOR, PRIOR_RECORDS, ACCEPT, ROUNDS, SALT = 0.002, 50.0, 0.5, 20, 16
@@ -67,9 +67,9 @@ def _weight(code: str, seq: str) -> float:
     if not _usual(made):
         return RARE
     if len(seq) == 2 and seq.isalpha() and not (seq[0].islower() and seq[1].isupper()):
-        return CHANCE if code in ("cp1251", "mac_roman") or seq[1] in "ŠŒŽšœžŸªº" else SURE
-    if len(seq) == 2 and code in ("mac_roman", "cp1252") and seq[0] in "¬–—”’‘÷◊ÀÃÕ€‹›ﬁŒœ" and code == "mac_roman":
-        return RARE  # punctuation next to a letter or to other punctuation
+        return CHANCE if code in ("cp1251", "mac_roman") or code != "cp1252" and seq.islower() or seq[1] in "ŠŒŽšœžŸªº" else SURE
+    if len(seq) == 2 and code == "mac_roman" and seq[0] in "¬–—”’‘÷◊ÀÃÕ€‹›ﬁŒœ":
+        return WEAK  # punctuation next to a letter or to other punctuation: only many of them tell
     return SURE
 
 

@@ -22,7 +22,7 @@ QUOTE = re.compile(r"^\s{0,3}(?:[>|]|&gt;|[A-Z]{1,3}>)")
 MONTH = r"(?:jan|feb|fév|mar|mär|apr|avr|abr|may|mai|mayo|jun|juin|jul|juil|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene)[\w.é]*"
 DATE = rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.?\s+(?:de\s+)?{MONTH}\s+(?:de\s+)?\d{{4}}|{MONTH}\s+\d{{1,2}},?\s+\d{{4}})"
 ATTRIBUTION = re.compile(
-    rf"^(?:(?:on|am|le|el|at|il|em)\s+)?(?:[^\W\d]{{2,10}}\.?,?\s+)?(?:(?:den|dem|the)\s+)?{DATE}\b[^\n]{{0,220}}(?:wrote|writes|schrieb|geschrieben|a\s+écrit|écrit|escribió|scribió|>\)?)\s*:\s*$"
+    rf"^(?:(?:on|am|le|el|at|il|em)\s+)?(?:[^\W\d]{{2,10}}\.?,?\s+)?(?:(?:den|dem|the)\s+)?{DATE}\b[^\n]{{0,220}}(?:\b(?:wrote|writes|schrieb|geschrieben|a\s+écrit|écrit|escribió)\b(?!\s*,?\s*(?:that|dass|que)\b)[^\n]{{0,90}}|>\)?)\s*:\s*$"
     rf"|^(?:(?:on|am|le|el)\s+)?(?:[^\W\d]{{2,10}}\.?,?\s+)?{DATE}[^\n.!?]{{0,100}},[^\n.!?]{{2,60}}:\s*$",
     re.I,
 )
