@@ -8,7 +8,7 @@ GRAIN = 1_000_000
 
 
 def by_hash(rows: DataFrame, key: Column, n: int, total: int) -> DataFrame:
-    """At most ``n`` rows, those with the least hash of ``key``; ``total`` is (about) how many rows there are.
+    """At most ``n`` rows, those with the least hash of ``key``; ``total`` is how many rows ``rows`` has.
 
     Rows are first thinned by the hash to about twice ``n``, so the tasks together send no more than that to the driver
     however many they are.

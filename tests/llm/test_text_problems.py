@@ -225,3 +225,11 @@ def test_abuse_held_out(spark):
     assert abuse.rates(d, s).count() == 2
     none = abuse.fit(d, rows(spark, [], "doc_id bigint, abusive bigint, rater string"))
     assert abuse.scored(d, none).where("abusive").count() == 0 and abuse.scored(d.limit(0), s).count() == 0
+
+
+def test_abuse_samples_reach_their_bounds(spark):
+    d = rows(spark, [(i, "You fool." if i % 20 == 0 else "All is well.", "s") for i in range(3000)], "doc_id bigint, text string, source string")
+    labels = rows(spark, [(i, int(i % 20 == 0), "r") for i in range(3000)] + [(1, 0, "r")] * 3000, "doc_id bigint, abusive bigint, rater string")
+    assert abuse.fit(d, labels, 60, 200, 300).size == {"positive": 60, "unlabelled": 200, "rated": 300}
+    few = abuse.fit(d, labels, 1000, 200, 300).size
+    assert few["positive"] == d.where("doc_id % 20 = 0").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) >= 3).count()
