@@ -23,8 +23,10 @@ from .sampling import by_hash
 
 FIELDS = ("body_plain", "extracted_image_text")
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "PERSON")
-#: Rows that names are learnt from and the trees are fitted on, least support of a name.
-NAME_ROWS, FIT_ROWS, LEAST_SUPPORT = 30_000, 1_500, 2
+#: Messages the trees are fitted on, least support of a given name, and most names sent to the tasks (more raise).
+FIT_ROWS, LEAST_SUPPORT, MAX_NAMES = 1_500, 2, 1_000_000
+#: Above so many messages, support is a rate for so many, so that rules on it mean the same at every size.
+SUPPORT_PER = 30_000
 
 UP, LETTER = r"[^\W\d_a-zß-öø-ÿ]", r"[^\W\d_]"
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+'-]++ ?@ ?[\w-]+(?:\.[\w-]+)+")
@@ -69,6 +71,14 @@ RIGHT = {
 }
 #: Each cue with the number of characters before a span it is sought in and the kinds it matters for.
 CUE_LIST = tuple((CUES[n], size, kinds) for n, size, kinds in (("phone", 48, (1, 2)), ("id", 28, (1, 2)), ("order", 24, (1, 2)), ("greet", 22, (4,)), ("close", 30, (4,)), ("wrote", 34, (4,))))
+#: A greeting or closing with a word after it that stands alone on its line, which is proposed as a name without support.
+ADDRESSED = re.compile(
+    rf"^[>| \t]*(?:(?i:dear|hi|hello|good morning|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|moin|bonjour|salut|chère?|hola|buenos días|estimad[oa]|buenas|querid[oa])[ \t]+"
+    rf"|(?i:(?:(?:best|kind|warm) )?(?:regards|wishes)|sincerely|cheers|(?:mit )?(?:freundlichen|besten|viele|liebe) grüßen?|cordialement|atentamente|saludos)[ \t]*,?[ \t\r]*\n[>| \t]*)({TOKEN.pattern})[ \t]*[,!:.]?[ \t\r]*$",
+    re.M,
+)
+# Forms of address that name nobody.
+NOBODY = frozenset("all alle everyone everybody team teams colleague colleagues customer customers client clients cliente clientes kunde kunden kundin kollege kollegen kollegin kolleginnen sir madam sirs user member friend friends herren damen equipe equipo tous toutes todos todas collegue collegues companero companeros companeras support service monsieur madame messieurs senor senora senores there again".split())
 NAME_BEFORE = re.compile(rf"(?:(?<!\w){UP}[\w’'-]*[^\S\n])?(?:(?<!\w){UP}[\w’'-]*)?$")
 NOT_BEFORE = tuple("0123456789/.#-")
 _UNPLAIN = re.compile("[^\x00-\x7f¡§«®°»¿-ı–—‘-„€�]")
@@ -107,36 +117,58 @@ class Names:
     starts: dict[str, int]
     ends: dict[str, int]
 
+    unit: float = 1.0
+
+    @staticmethod
+    def parts(display: str | None, address: str | None) -> tuple[str, str] | None:
+        """Given and family name of a display name whose parts stand in its own mail address (``given.family@``, ``gfamily@``, ``family12@``)."""
+        if not display or not address:
+            return None
+        local = re.sub(r"[^a-z]", "", address.split("@")[0].split("+")[-1].lower())
+        own = [bare(p) for p in re.findall(r"[^\W\d_]{2,}", fold(display))]
+        if len(own) == 2:
+            for a, b in (own, own[::-1]):
+                if local in (a + b, a[0] + b, b):
+                    return a, b
+        return None
+
     @classmethod
-    def learn(cls, pairs: list[tuple[str | None, str | None]]) -> Names:
-        """From display names whose parts stand in their own mail address (``given.family@``, ``gfamily@``, ``family12@``)."""
-        given: Counter[str] = Counter()
-        family: Counter[str] = Counter()
-        for display, address in pairs:
-            if not display or not address:
-                continue
-            local = re.sub(r"[^a-z]", "", address.split("@")[0].split("+")[-1].lower())
-            parts = [bare(p) for p in re.findall(r"[^\W\d_]{2,}", fold(display))]
-            if len(parts) == 2:
-                for a, b in (parts, parts[::-1]):
-                    if local in (a + b, a[0] + b, b):
-                        given[a] += 1
-                        family[b] += 1
-                        break
-        family = Counter({w: n for w, n in family.items() if len(w) > 4})
-        given = Counter({w: n for w, n in given.items() if n >= LEAST_SUPPORT and n > family.get(w, 0)})
+    def of(cls, given: dict[str, int], family: dict[str, int], total: int) -> Names:
+        """From the counts of both parts over ``total`` messages."""
+        family = {w: n for w, n in family.items() if len(w) > 4}
+        given = {w: n for w, n in given.items() if n >= LEAST_SUPPORT and n > family.get(w, 0)}
         starts: Counter[str] = Counter()
         ends: Counter[str] = Counter()
         for w in family:
             starts.update(w[:k] for k in range(3, len(w) - 2))
             ends.update(w[k:] for k in range(3, len(w) - 2))
-        return cls(dict(given), dict(family), {k: n for k, n in starts.items() if n > 1}, {k: n for k, n in ends.items() if n > 1})
+        return cls(given, family, {k: n for k, n in starts.items() if n > 1}, {k: n for k, n in ends.items() if n > 1}, SUPPORT_PER / max(total, SUPPORT_PER))
 
     def likeness(self, w: str) -> float:
         """How well ``w`` splits into a known beginning and end of family names."""
         return float(max((min(self.starts.get(w[:k], 0), self.ends.get(w[k:], 0)) for k in range(3, len(w) - 2)), default=0))
 
 
+def learn_names(messages: DataFrame, total: int, limit: int = MAX_NAMES) -> Names:
+    """The names of all messages. Equal pairs of display name and address meet first, so a hot sender is one row; only counts of names reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter[tuple[bool, str]] = Counter()
+            for display, address, n in zip(*(c.to_pylist() for c in b.columns)):
+                if found := Names.parts(display, address):
+                    counts[True, found[0]] += n
+                    counts[False, found[1]] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.bool_()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["is_given", "word", "n"])
+
+    pairs = messages.where("from_display is not null and from_addr is not null").groupBy("from_display", "from_addr").agg(F.count("*").alias("n"))
+    counts = pairs.mapInArrow(run, "is_given boolean, word string, n bigint").groupBy("is_given", "word").agg(F.sum("n").alias("n"))
+    rows = counts.where(f"if(is_given, n >= {LEAST_SUPPORT}, length(word) > 4)").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"senders have more than {limit} different names")
+    return Names.of({r.word: r.n for r in rows if r.is_given}, {r.word: r.n for r in rows if not r.is_given}, total)
+
+
 BREAK = re.compile(r"\s*\n[>| \t]*")
 GAP = re.compile(r",?\s{0,3}(?:[>|]+ ?)?")
 INITIAL = re.compile(r"(?<![\w.])([A-ZÀ-Þ]\. ?)$")
@@ -194,6 +226,7 @@ def candidates(text: str, names: Names, cache: dict) -> list[tuple[int, int, int
                 add(2, s, m.end(), out_digits, [0, 0, 0, 0, 0])
                 first = re.search(r"[+(\d]", m[0]).start()
                 add(1, s + first, m.end(), _digits(m[0][first:]), [float(first > 0), 0, 0, 0, 0])
+    addressed = {m.start(1) for m in ADDRESSED.finditer(t) if bare(m[1]) not in NOBODY}
     tokens = []
     for m in TOKEN.finditer(t):
         w = m[0]
@@ -203,7 +236,7 @@ def candidates(text: str, names: Names, cache: dict) -> list[tuple[int, int, int
         if known is None:
             b = bare(w)
             shape = w.isupper() and len(w) > 1 or w[1:].islower() or "-" in w or "’" in w or "'" in w
-            g, f = names.given.get(b, 0), names.family.get(b, 0)
+            g, f = names.given.get(b, 0) * names.unit, names.family.get(b, 0) * names.unit
             like = names.likeness(b) if len(b) > 5 else 0.0
             if len(cache) > 200_000:
                 cache.clear()
@@ -211,7 +244,7 @@ def candidates(text: str, names: Names, cache: dict) -> list[tuple[int, int, int
         tokens.append((m.start(), m.end(), *known))
     used = -1
     for i, (s, e, g, f, like) in enumerate(tokens):
-        if s < used or not (g or f or like > 1):
+        if s < used or not (g or f or like > 1 or s in addressed):
             continue
         nxt = tokens[i + 1] if i + 1 < len(tokens) else None
         initial = INITIAL.search(t[max(0, s - 4) : s]) if (f or like) and not g else None
@@ -252,6 +285,8 @@ def weak_label(kind: int, span: str, x: list[float]) -> int | None:
         return 1
     if parts == 1 and given:
         return 1 if cue["greet"] or cue["close"] or cue["wrote"] or x[22] or given > 20 else None
+    if parts == 1 and not family and like <= 1:
+        return 1  # proposed by its greeting or closing alone
     if parts == 1 and family:
         return 1 if x[5] or cue["greet"] or cue["wrote"] else None
     return 0 if like <= 2 else None
@@ -300,14 +335,13 @@ class Model:
         return out
 
 
-def fit(messages: DataFrame, fit_rows: int = FIT_ROWS, name_rows: int = NAME_ROWS) -> Model:
-    """The model, from at most ``name_rows`` sender names and ``fit_rows`` messages, the first by hash of msg_id.
+def fit(messages: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """The model, from the sender names of all messages and trees on at most ``fit_rows`` of them, the first by hash of msg_id.
 
-    A quarter of the messages is held out for calibration. Both samples are bounded, the searched rows never are.
+    A quarter of the sample is held out for calibration. Only the trees' sample is bounded, the searched rows never are.
     """
     total = messages.count()
-    pairs = [(r[0], r[1]) for r in by_hash(messages.select("from_display", "from_addr", "msg_id"), F.col("msg_id"), name_rows, total).collect()]
-    names = Names.learn(pairs)
+    names = learn_names(messages, total)
     texts = [t for r in by_hash(messages.select(*FIELDS, "msg_id"), F.col("msg_id"), fit_rows, total).collect() for t in r[:2]]
     rows: dict[int, list] = {k: [] for k in range(len(KINDS))}
     cache: dict = {}
@@ -325,6 +359,7 @@ def fit(messages: DataFrame, fit_rows: int = FIT_ROWS, name_rows: int = NAME_ROW
         if k == 4:  # names not learnt must be judged by form and context: hide the support of one in five
             hide = np.arange(len(own)) % 5 == 0
             x[hide & (y > 0), -4] = 0
+            x[hide & (y > 0) & ((x[:, 18] > 0) | (x[:, 19] > 0)), -5] = 0
         boosts[k] = SymmetricBoost().fit(x[~held], y[~held]).calibrate(x[held], y[held])
     return Model(names, boosts, support)
 

@@ -233,3 +233,19 @@ def test_abuse_samples_reach_their_bounds(spark):
     assert abuse.fit(d, labels, 60, 200, 300).size == {"positive": 60, "unlabelled": 200, "rated": 300}
     few = abuse.fit(d, labels, 1000, 200, 300).size
     assert few["positive"] == d.where("doc_id % 20 = 0").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) >= 3).count()
+
+
+def test_names_of_all_messages(spark):
+    hot = [(i, "News", "news@x.test", None, None) for i in range(40_000)]
+    rare = [(40_000 + i, "Ottilie Marwick", "ottilie.marwick@x.test", "Dear Ottilie,\n\nok", None) for i in range(2)]
+    m = rows(spark, hot + rare + [(i + 50_000, *p[1:]) for i, p in enumerate(people(300))], "msg_id bigint, from_display string, from_addr string, body_plain string, extracted_image_text string")
+    names = personal.learn_names(m, m.count())
+    assert names.given["ottilie"] == 2 and names.family["marwick"] == 2 and "news" not in names.given
+    with pytest.raises(ValueError):
+        personal.learn_names(m, 1, 3)
+
+
+def test_greeting_and_closing_propose_unknown_names(spark):
+    model = personal.fit(rows(spark, list(people(300)), "msg_id bigint, from_display string, from_addr string, body_plain string, extracted_image_text string"))
+    found = model.find(["Dear Zbigniewa,\n\nall is well.\n\nBest regards,\nXanthippe", "Dear Customers,\n\nall is Well.\n\nRegards\nTeam"])
+    assert [(s, e, k) for s, e, k, _ in found[0]] == [(5, 14, 4), (45, 54, 4)] and found[1] == []
