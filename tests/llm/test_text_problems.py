@@ -249,3 +249,13 @@ def test_greeting_and_closing_propose_unknown_names(spark):
     model = personal.fit(rows(spark, list(people(300)), "msg_id bigint, from_display string, from_addr string, body_plain string, extracted_image_text string"))
     found = model.find(["Dear Zbigniewa,\n\nall is well.\n\nBest regards,\nXanthippe", "Dear Customers,\n\nall is Well.\n\nRegards\nTeam"])
     assert [(s, e, k) for s, e, k, _ in found[0]] == [(5, 14, 4), (45, 54, 4)] and found[1] == []
+
+
+def test_dates_are_no_addresses(spark):
+    model = personal.fit(rows(spark, list(people(300)), "msg_id bigint, from_display string, from_addr string, body_plain string, extracted_image_text string"))
+    boost = model.boosts[3]
+    assert boost.scale != 1 or boost.shift != 0  # calibrated, so fitted on both labels
+    dates = ["Im Januar 2025 war es kalt.", "Wir kommen Am Montag 12 Leute stark.", "In der Woche 12", "Im Quartal 3 neu"]
+    assert not any(k == 3 for found in model.find(dates) for _, _, k, _ in found)
+    true = ["Bitte an Am alten Speicher 71, 63496 Kelburn schicken", "Am alten Speicher 12", "Send it to 17 Larch Avenue please", "12 March Street, Kelburn 12345", "Mühlweg 29, 79697 Tarnholm"]
+    assert [[k for _, _, k, _ in found if k == 3] for found in model.find(true)] == [[3]] * len(true)
