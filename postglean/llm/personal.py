@@ -93,10 +93,16 @@ NOT_BEFORE = tuple("0123456789/.#-")
 _UNPLAIN = re.compile("[^\x00-\x7f¡§«®°»¿-ı–—‘-„€�]")
 _FOLD: dict[int, str] = {}
 _LATIN = {ord(a): b for a, b in {**CYRILLIC, **GREEK}.items() if len(b) == 1}
+_ALIKE = re.compile("[" + "".join(map(chr, _LATIN)) + "]")
+_OWN, _OTHER = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 
 
 def fold(text: str) -> str:
-    """``text`` with look-alike and compatibility forms replaced one by one, so that positions stay."""
+    """``text`` with look-alike and compatibility forms replaced one by one, so that positions stay.
+
+    Cyrillic and Greek look-alikes become Latin in lines with more Latin letters than others, in words with both scripts, and
+    in lines made of look-alikes alone in a text that is mostly Latin; other lines stay.
+    """
     if not _UNPLAIN.search(text):
         return text
     if not _FOLD:
@@ -104,9 +110,19 @@ def fold(text: str) -> str:
         _FOLD.update({ord(a): b for a, b in zip(src, dst)})
         _FOLD.update({c: " " for c in (0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F, 0x3000)})
     out = text.translate(_FOLD)
-    if len(re.findall("[a-z]", out[:2000])) * 2 > min(len(out), 2000):
-        out = out.translate(_LATIN)
-    return out
+    if not _ALIKE.search(out):
+        return out
+    mostly = len(_OWN.findall(out)) > len(_OTHER.findall(out))
+
+    def one(line: str) -> str:
+        if not _ALIKE.search(line):
+            return line
+        own, other = len(_OWN.findall(line)), _OTHER.findall(line)
+        if own > len(other) or not own and mostly and all(ord(c) in _LATIN for c in other):
+            return line.translate(_LATIN)
+        return re.sub(r"\S+", lambda m: m[0].translate(_LATIN) if _OWN.search(m[0]) else m[0], line) if own else line
+
+    return "\n".join(map(one, out.split("\n")))
 
 
 def bare(word: str) -> str:

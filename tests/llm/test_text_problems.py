@@ -259,3 +259,12 @@ def test_dates_are_no_addresses(spark):
     assert not any(k == 3 for found in model.find(dates) for _, _, k, _ in found)
     true = ["Bitte an Am alten Speicher 71, 63496 Kelburn schicken", "Am alten Speicher 12", "Send it to 17 Larch Avenue please", "12 March Street, Kelburn 12345", "Mühlweg 29, 79697 Tarnholm"]
     assert [[k for _, _, k, _ in found if k == 3] for found in model.find(true)] == [[3]] * len(true)
+
+
+def test_fold_decides_by_line_and_word():
+    real, start = "Новый график готов\n", "Dear Ada,\nall is well here.\n"
+    for head in (real * 150, "12 345 678\n" * 250, "A B C D\n" * 300, "\n" * 2500):
+        assert personal.fold(head + "write to Аnnа Lund, аnnа@x.test") == head + "write to Anna Lund, anna@x.test"
+    assert personal.fold(start * 90 + real * 200) == start * 90 + real * 200
+    assert personal.fold("пишите на аnnа@x.test сегодня") == "пишите на anna@x.test сегодня"
+    assert personal.fold(start + "Аса") == start + "Aca" and len(personal.fold(start + real)) == len(start + real)
