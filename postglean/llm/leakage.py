@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 LEAST_RUN = 12
+#: Of ``LEAST_RUN`` item words in a row so many may be missing or altered in a near match, on so many adjacent diagonals.
+MISSING, BAND = 3, 3
+#: So many of the rarest places must stand in the document; any number loses nothing, more of them leave fewer places to be looked at.
+SURE = 3
 MAX_ITEM_WORDS = 2_000_000
 
 
@@ -55,8 +59,7 @@ def diagonals(index: DataFrame, chosen: DataFrame) -> DataFrame:
 def matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN) -> DataFrame:
     """``doc_id, item_id, longest_run, near_words, item_words``: documents with ``run`` or more consecutive words of an item.
 
-    ``near_words`` counts the item's places that stand in the document on the match's diagonals (proximity: edited and
-    broken passages included). What stands between words does not matter. Null and empty texts, and items shorter
+    ``near_words`` counts the item's places that stand in the document on the match's diagonals. What stands between words does not matter. Null and empty texts, and items shorter
     than ``run``, match nothing; no documents or no items give no rows.
     """
     terms = cut_lineage(item_terms(items))
@@ -71,3 +74,38 @@ def matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN) -> Dat
     found = runs.groupBy("doc_id", "item_id").agg(F.max("n").alias("longest_run"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("bigint").alias("near_words")).where(F.col("longest_run") >= run)
     size = terms.groupBy("item_id").agg(F.count("*").alias("item_words"))
     return found.join(F.broadcast(size), "item_id").select("doc_id", "item_id", "longest_run", "near_words", "item_words")
+
+
+def near(index: DataFrame, terms: DataFrame, run: int = LEAST_RUN, missing: int = MISSING, band: int = BAND) -> DataFrame:
+    """``doc_id, item_id, best_window``: documents with at least ``run - missing`` of ``run`` item words in a row on ``band`` adjacent diagonals.
+
+    Nothing of that sort is lost: of the ``missing + SURE`` rarest places of a window ``SURE`` must stand in the document,
+    so these are the anchors. Words replaced, left out or inserted move the rest of a passage by a diagonal at most each.
+    """
+    counts = index.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
+    known = terms.join(counts, "term", "left").select("item_id", "at", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    w = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, run - 1)
+    best = known.select("item_id", F.slice(F.sort_array(F.collect_list(F.struct("n", "at", "term")).over(w)), 1, missing + SURE).alias("b"), F.count("*").over(w).alias("size"))
+    chosen = best.where(F.col("size") == run).select("item_id", F.explode("b").alias("b")).select("item_id", "b.at", "b.term").distinct()
+    starts = F.explode(F.sequence(F.col("shift") - (band - 1), F.col("shift")))
+    stands = index.join(F.broadcast(chosen), "term").select("doc_id", "item_id", "at", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("shift"))
+    lines = stands.select("doc_id", "item_id", "at", starts.alias("shift")).groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("ats")).where(F.size("ats") >= SURE).drop("ats")
+    places = lines.join(F.broadcast(terms), "item_id").join(index, ["doc_id", "term"])
+    first = F.col("at") + F.col("shift")
+    hits = places.where(F.exists("positions", lambda p: (p >= first) & (p < first + band))).select("doc_id", "item_id", "shift", "at")
+    window = Window.partitionBy("doc_id", "item_id", "shift").orderBy("at").rangeBetween(0, run - 1)
+    dense = hits.withColumn("n", F.count("*").over(window)).groupBy("doc_id", "item_id").agg(F.max("n").alias("best_window"))
+    return dense.where(F.col("best_window") >= run - missing)
+
+
+def all_matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN, missing: int = MISSING, band: int = BAND) -> DataFrame:
+    """``doc_id, item_id, kind, longest_run, near_words, item_words, best_window``: exact and near matches.
+
+    ``kind`` is exact for the rows of ``matches``, else near; a near row has no ``longest_run`` and ``near_words``.
+    """
+    terms = cut_lineage(item_terms(items))
+    exact = matches(documents, items, run)
+    size = terms.groupBy("item_id").agg(F.count("*").alias("size"))
+    both = exact.join(near(build_index(documents, terms), terms, run, missing, band), ["doc_id", "item_id"], "full").join(F.broadcast(size), "item_id")
+    kind = F.when(F.col("longest_run").isNotNull(), "exact").otherwise("near")
+    return both.select("doc_id", "item_id", kind.alias("kind"), "longest_run", "near_words", F.col("size").alias("item_words"), "best_window")

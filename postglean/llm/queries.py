@@ -37,7 +37,7 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: neardup.similar_pairs(_m(s, d)),
         "p7_groups": lambda s, d: neardup.groups(_m(s, d)),
         "p8_found": lambda s, d: leakage.matches(_d(s, d), table(s, d, "eval_items")).select("doc_id", "item_id"),
-        "p8_matches": lambda s, d: leakage.matches(_d(s, d), table(s, d, "eval_items")),
+        "p8_matches": lambda s, d: leakage.all_matches(_d(s, d), table(s, d, "eval_items")),
         "p9_mixture": lambda s, d: mixture.mixture(_d(s, d), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(mixture.mixture(_d(s, d), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: abuse.scored(_d(s, d), _p10(s, d)).where("abusive").select("doc_id"),

@@ -268,3 +268,20 @@ def test_fold_decides_by_line_and_word():
     assert personal.fold(start * 90 + real * 200) == start * 90 + real * 200
     assert personal.fold("пишите на аnnа@x.test сегодня") == "пишите на anna@x.test сегодня"
     assert personal.fold(start + "Аса") == start + "Aca" and len(personal.fold(start + real)) == len(start + real)
+
+
+def test_near_leakage(spark):
+    rnd = random.Random(4)
+    item = [f"t{i}" for i in range(30)]
+    noise = lambda n: [f"n{rnd.randint(0, 200)}" for _ in range(n)]
+    replaced = [("x" if i % 11 == 5 else w) for i, w in enumerate(item)]
+    inserted = [v for i, w in enumerate(item) for v in ([w, "x"] if i % 11 == 5 else [w])]
+    sparse = [("x" if i % 3 == 1 else w) for i, w in enumerate(item)]
+    shuffled = rnd.sample(item, 30)
+    docs = [(i, " ".join(noise(20) + w + noise(20))) for i, w in enumerate((item, replaced, inserted, sparse, shuffled, []))] + [(9, None)]
+    d = rows(spark, docs, "doc_id bigint, text string")
+    t = rows(spark, [(1, " ".join(item)), (2, "too short")], "item_id bigint, item_text string")
+    got = {r.doc_id: r for r in leakage.all_matches(d, t).collect()}
+    assert {i: r.kind for i, r in got.items()} == {0: "exact", 1: "near", 2: "near"}
+    assert got[0].longest_run == 30 and got[1].best_window >= 9 and got[1].item_words == 30
+    assert leakage.all_matches(d.limit(0), t).count() == 0
