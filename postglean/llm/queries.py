@@ -24,6 +24,14 @@ def _p10(spark: SparkSession, folder: str) -> abuse.Scorer:
     return abuse.fit(_d(spark, folder), table(spark, folder, "doc_labels"))
 
 
+_PAIRS = r"""
+WITH w AS (SELECT DISTINCT msg_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), coalesce(subject, ''), coalesce(body_plain, ''))), '[\p{L}\p{N}]+')) AS x FROM messages),
+n AS (SELECT msg_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 25),
+k AS (SELECT w.msg_id, x, n FROM w JOIN n USING (msg_id)),
+c AS (SELECT a.msg_id AS msg_id_a, b.msg_id AS msg_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_n FROM k a JOIN k b ON a.x = b.x AND a.msg_id < b.msg_id GROUP BY 1, 2)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: lookalike.disguised(_m(s, d), table(s, d, "watch_texts")),
@@ -55,10 +63,10 @@ i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
-        "p7_found": r"""
-WITH w AS (SELECT DISTINCT msg_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), coalesce(subject, ''), coalesce(body_plain, ''))), '[\p{L}\p{N}]+')) AS x FROM messages),
-n AS (SELECT msg_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 25),
-k AS (SELECT w.msg_id, x, n FROM w JOIN n USING (msg_id)),
-c AS (SELECT a.msg_id AS msg_id_a, b.msg_id AS msg_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_n FROM k a JOIN k b ON a.x = b.x AND a.msg_id < b.msg_id GROUP BY 1, 2)
-SELECT msg_id_a, msg_id_b FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7""",
+        "p7_found": _PAIRS + "SELECT msg_id_a, msg_id_b FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7",
+        "p7_groups": _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + r""",
+l AS (SELECT msg_id_a AS a, msg_id_b AS b FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7 UNION SELECT msg_id_b, msg_id_a FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7),
+r AS (SELECT msg_id, msg_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.msg_id),
+e AS (SELECT msg_id_a AS a, msg_id_b AS b FROM c WHERE both_n = na AND both_n = nb)
+SELECT n.msg_id, least(n.msg_id, coalesce((SELECT min(a) FROM e WHERE b = n.msg_id), n.msg_id)) AS class_id, (SELECT min(root) FROM r WHERE r.msg_id = n.msg_id) AS group_id FROM n""",
     }
