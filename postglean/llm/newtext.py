@@ -55,7 +55,14 @@ CONTACT = re.compile(r"@|\bwww\.|https?://|\+?\d[\d ()/.\-]{6,}|\(at\)|^(?:tel|p
 BLOCK_TAG = re.compile(r"<(/?)blockquote\b[^>]*>|<[^>]*>", re.I)
 GARBLED = re.compile("[ÃÂâ√├┬ΓÔГвРСÐÑ]")
 COMPANY = re.compile(r"(?:,|\|)\s.*\b(?:Inc|Ltd|LLC|Corp|Co|GmbH|AG|KG|e\.\s?V|SARL|SA|SAS|SL|S\.[AL])\.?$")
-MOST_SIGNATURE_LINES = 8
+# Pronouns, auxiliary verbs and conjunctions, which stand in sentences and not in names, roles or contacts.
+SPEAKING = re.compile(
+    r"\b(?:i|you|we|they|it|is|are|was|were|have|has|had|will|would|can|could|should|please|not|that|this|these|if|when|because|my|your|our"
+    r"|ich|sie|wir|ihr|es|ist|sind|war|waren|haben|hat|hatte|wird|werden|kann|können|soll|bitte|nicht|dass|wenn|weil|mein|meine|ihre|unser|unsere"
+    r"|je|vous|nous|il|elle|ils|est|sont|était|avez|avons|peut|pouvez|merci|pas|que|qui|quand|parce|votre|notre|cette"
+    r"|yo|usted|ustedes|él|ella|son|era|tiene|tienen|puede|pueden|favor|cuando|porque|su|nuestro|nuestra|este|esta)\b",
+    re.I,
+)
 
 
 def plain(line: str) -> str:
@@ -87,9 +94,10 @@ def quoted_in_markup(html: str, lines: int) -> list[bool] | None:
 
 def _prose(line: str) -> bool:
     """Whether a line below a closing formula or delimiter is a sentence rather than a name, role or contact line."""
+    words, speaking = len(line.split()), len(SPEAKING.findall(line))
     if CONTACT.search(line) or COMPANY.search(line):
-        return len(line) > 100
-    return len(line) > 60 or (len(line.split()) > 4 and line[-1:] in ".?!…:;")
+        return words > 4 and speaking > 1
+    return words > 4 and (speaking > 0 or line[-1:] in ".?!…:;")
 
 
 def _closes(line: str) -> bool:
@@ -112,7 +120,7 @@ def new_lines(text: str, html: str | None = None) -> list[int]:
     marked = quoted_in_markup(html, n) if html else None
     quoted = [bool(q or (marked and marked[i])) for i, q in enumerate(map(QUOTE.match, lines))]
     out: list[int] = []
-    state, i, tail = "own", 0, 0
+    state, i = "own", 0
     while i < n:
         line = lines[i]
         if not line:
@@ -153,16 +161,16 @@ def new_lines(text: str, html: str | None = None) -> list[int]:
             i += 1
             continue
         if _closes(line) and (i > 0 or end - i <= 3):
-            state, tail, i = "signature", 0, i + 1
+            state, i = "signature", i + 1
             continue
         if DELIMITER.match(line):
             below = lines[i + 1 : i + 3] if html else lines[i + 1 : end]
-            if below and len(below) <= MOST_SIGNATURE_LINES and not any(_prose(x) for x in below[: 1 if html else None]):
-                state, tail = "signature", 0
+            if below and not any(_prose(x) for x in below[: 1 if html else None]):
+                state = "signature"
             i += 1
             continue
-        if state == "signature" and tail < MOST_SIGNATURE_LINES and not _prose(line):
-            tail, i = tail + 1, i + 1
+        if state == "signature" and not _prose(line):
+            i += 1
             continue
         if state == "signature":
             state = "own"
