@@ -1,22 +1,22 @@
 """Passages of test items inside a corpus, found through a positional inverted index.
 
-The index holds (doc_id, term, positions) for the terms that test items use, kept with its document, so the lists of a
-frequent term are spread over the cluster. Every window of the sought length gets its rarest term as anchor; the anchors'
-lists, shifted by their place in the item, name the diagonals on which all other lists are intersected.
+The index is a stored table of postings ``doc_id, at, term`` with both neighbours of the term, for the terms that test items
+use; it lies in the order of the documents, so the lists of a frequent term are spread over the cluster and nothing
+shuffles to build it. Every window of the sought length gets its rarest term as anchor. The anchors' lists, met with those
+of their neighbours and shifted by their place in the item, name the diagonals on which all other lists are intersected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, met, stored
 
 LEAST_RUN = 12
-#: Of ``LEAST_RUN`` item words in a row so many may be missing or altered in a near match, on so many adjacent diagonals.
-MISSING, BAND = 3, 3
-#: So many of the rarest places must stand in the document; any number loses nothing, more of them leave fewer places to be looked at.
-SURE = 3
-MAX_ITEM_WORDS = 2_000_000
+#: A near match: so many runs of three words within ``LEAST_RUN`` item words on so many adjacent diagonals.
+LEAST_THREES, BAND = 4, 3
+#: Tables of test items and named documents up to so many rows are sent to every task; larger ones are joined by shuffle.
+SENT_ROWS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -24,88 +24,86 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def item_terms(items: DataFrame, limit: int = MAX_ITEM_WORDS) -> DataFrame:
-    """``item_id, at, term``, sent to every task later and therefore at most ``limit`` rows (more raise)."""
-    rows = items.select("item_id", F.posexplode(tokens(F.col("item_text"))).alias("at", "term")).distinct()
-    if rows.limit(limit + 1).count() > limit:
-        raise ValueError(f"test items have more than {limit} words; search them in parts")
-    return rows
+def _placed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, at, term, before, after``: every word with its neighbours ('' at the ends)."""
+    own = rows.where(f"{key} is not null and {text} is not null").select(key, tokens(F.col(text)).alias("w"))
+    none = F.array(F.lit(""))
+    threes = F.arrays_zip(F.col("w").alias("term"), F.concat(none, "w").alias("before"), F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), none).alias("after"))
+    return own.select(key, F.posexplode(threes).alias("at", "x")).select(key, "at", F.col("x")["term"].alias("term"), F.col("x")["before"].alias("before"), F.col("x")["after"].alias("after")).where("term is not null")
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """``item_id, at, term, before, after`` of the test items."""
+    return cut_lineage(_placed(items, "item_id", "item_text").distinct())
 
 
 def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, term, positions``: the postings of all documents, whole texts, for the given ``term`` rows.
+    """``doc_id, at, term, before, after``: the postings of all documents, whole texts, for the given ``term`` rows.
 
-    Repeated rows of one doc_id are merged as one document's texts would be: their positions are united.
+    Rows of one doc_id are read as one document: their positions are united.
     """
-    words = documents.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
-    wanted = words.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return cut_lineage(wanted.repartition("doc_id").groupBy("doc_id", "term").agg(F.sort_array(F.collect_set("at")).alias("positions")))
+    return stored(met(_placed(documents, "doc_id", "text"), terms.select("term").distinct(), "term", "left_semi", SENT_ROWS), "postings")
 
 
 def anchors(index: DataFrame, terms: DataFrame, run: int = LEAST_RUN) -> DataFrame:
-    """``item_id, at, term``: of every window of ``run`` words of an item its rarest term (ties: the first)."""
-    counts = index.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
-    known = terms.join(counts, "term", "left").select("item_id", "at", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    w = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, run - 1)
-    best = known.select("item_id", F.min(F.struct("n", "at", "term")).over(w).alias("b"), F.count("*").over(w).alias("size"))
-    return best.where(F.col("size") == run).select("item_id", "b.at", "b.term").distinct()
+    """``item_id, place, term, before, after``: of every window of ``run`` words of an item its rarest inner term (ties: the first)."""
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    known = met(terms, counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.partitionBy("item_id").orderBy("at")
+    inner = w.rowsBetween(min(1, run - 1), max(run - 2, 0))
+    best = known.select("item_id", F.min(F.struct("n", "at", "term", "before", "after")).over(inner).alias("b"), F.count("*").over(w.rowsBetween(0, run - 1)).alias("size"))
+    return best.where(F.col("size") == run).select("item_id", F.col("b.at").alias("place"), "b.term", "b.before", "b.after").distinct()
 
 
 def diagonals(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``doc_id, item_id, shift``: places where an anchor of the item stands in the document."""
-    return index.join(F.broadcast(chosen), "term").select("doc_id", "item_id", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("shift")).distinct()
+    """``doc_id, item_id, place, shift``: places where a term of the item stands in the document between the same neighbours."""
+    return met(index, chosen, ["term", "before", "after"], limit=SENT_ROWS).select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
 
 
-def matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN) -> DataFrame:
-    """``doc_id, item_id, longest_run, near_words, item_words``: documents with ``run`` or more consecutive words of an item.
+def exact(index: DataFrame, terms: DataFrame, run: int = LEAST_RUN) -> DataFrame:
+    """``doc_id, item_id, longest_run``: documents with ``run`` (three at least) or more consecutive words of an item."""
+    lines = cut_lineage(diagonals(index, anchors(index, terms, run)).select("doc_id", "item_id", "shift").distinct())
+    # All lists of the named documents at the places the diagonals ask for.
+    lists = met(index, lines.select("doc_id").distinct(), "doc_id", "left_semi", SENT_ROWS).select("doc_id", "at", "term").distinct()
+    wanted = met(lines, terms.select("item_id", F.col("at").alias("place"), "term"), "item_id", limit=SENT_ROWS).withColumn("at", F.col("shift") + F.col("place"))
+    hits = met(wanted, lists, ["doc_id", "at", "term"])
+    island = F.col("place") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("place"))
+    runs = hits.withColumn("island", island).groupBy("doc_id", "item_id", "shift", "island").agg(F.count("*").alias("n"))
+    return runs.groupBy("doc_id", "item_id").agg(F.max("n").alias("longest_run")).where(F.col("longest_run") >= run)
+
 
-    ``near_words`` counts the item's places that stand in the document on the match's diagonals. What stands between words does not matter. Null and empty texts, and items shorter
-    than ``run``, match nothing; no documents or no items give no rows.
+def near(index: DataFrame, terms: DataFrame, run: int = LEAST_RUN, threes: int = LEAST_THREES, band: int = BAND) -> DataFrame:
+    """``doc_id, item_id, best_window``: documents in which ``threes`` runs of three of ``run`` item words in a row stand on ``band`` adjacent diagonals.
+
+    With the given numbers that is every passage of twelve item words with up to two words replaced, left out or inserted:
+    ten words in three runs hold four runs of three, and each change moves what follows by a diagonal at most.
     """
-    terms = cut_lineage(item_terms(items))
-    index = build_index(documents, terms)
-    lines = cut_lineage(diagonals(index, anchors(index, terms, run)))
-    # All lists of the named documents, shifted; a hit is the item's own term at that place.
-    lists = index.join(lines.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "term", F.explode("positions").alias("p"))
-    placed = lists.join(lines, "doc_id").withColumn("at", F.col("p") - F.col("shift"))
-    hits = placed.join(F.broadcast(terms), ["item_id", "at", "term"]).select("doc_id", "item_id", "shift", "at").distinct()
-    island = F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("at"))
-    runs = hits.withColumn("island", island).groupBy("doc_id", "item_id", "shift", "island").agg(F.count("*").alias("n"), F.collect_set("at").alias("ats"))
-    found = runs.groupBy("doc_id", "item_id").agg(F.max("n").alias("longest_run"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("bigint").alias("near_words")).where(F.col("longest_run") >= run)
-    size = terms.groupBy("item_id").agg(F.count("*").alias("item_words"))
-    return found.join(F.broadcast(size), "item_id").select("doc_id", "item_id", "longest_run", "near_words", "item_words")
-
-
-def near(index: DataFrame, terms: DataFrame, run: int = LEAST_RUN, missing: int = MISSING, band: int = BAND) -> DataFrame:
-    """``doc_id, item_id, best_window``: documents with at least ``run - missing`` of ``run`` item words in a row on ``band`` adjacent diagonals.
-
-    Nothing of that sort is lost: of the ``missing + SURE`` rarest places of a window ``SURE`` must stand in the document,
-    so these are the anchors. Words replaced, left out or inserted move the rest of a passage by a diagonal at most each.
+    stands = diagonals(index, terms.where("before <> '' and after <> ''").withColumnRenamed("at", "place").distinct())
+    lines = stands.select("doc_id", "item_id", "place", F.explode(F.sequence(F.col("shift") - (band - 1), F.col("shift"))).alias("shift"))
+    places = lines.groupBy("doc_id", "item_id", "shift").agg(F.sort_array(F.collect_set("place")).alias("p")).where(F.size("p") >= threes)
+    dense = F.array_max(F.transform("p", lambda a: F.size(F.filter("p", lambda b: (b >= a) & (b <= a + (run - 3))))))
+    return places.groupBy("doc_id", "item_id").agg(F.max(dense).cast("bigint").alias("best_window")).where(F.col("best_window") >= threes)
+
+
+def matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN) -> DataFrame:
+    """``doc_id, item_id, longest_run``: documents with ``run`` or more consecutive words of an item.
+
+    What stands between words does not matter. Null and empty texts, null ids, and items shorter than ``run`` match nothing;
+    no documents or no items give no rows. Items of any number are taken: beyond ``SENT_ROWS`` words they meet the postings
+    by shuffle.
     """
-    counts = index.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
-    known = terms.join(counts, "term", "left").select("item_id", "at", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    w = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, run - 1)
-    best = known.select("item_id", F.slice(F.sort_array(F.collect_list(F.struct("n", "at", "term")).over(w)), 1, missing + SURE).alias("b"), F.count("*").over(w).alias("size"))
-    chosen = best.where(F.col("size") == run).select("item_id", F.explode("b").alias("b")).select("item_id", "b.at", "b.term").distinct()
-    starts = F.explode(F.sequence(F.col("shift") - (band - 1), F.col("shift")))
-    stands = index.join(F.broadcast(chosen), "term").select("doc_id", "item_id", "at", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("shift"))
-    lines = stands.select("doc_id", "item_id", "at", starts.alias("shift")).groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("ats")).where(F.size("ats") >= SURE).drop("ats")
-    places = lines.join(F.broadcast(terms), "item_id").join(index, ["doc_id", "term"])
-    first = F.col("at") + F.col("shift")
-    hits = places.where(F.exists("positions", lambda p: (p >= first) & (p < first + band))).select("doc_id", "item_id", "shift", "at")
-    window = Window.partitionBy("doc_id", "item_id", "shift").orderBy("at").rangeBetween(0, run - 1)
-    dense = hits.withColumn("n", F.count("*").over(window)).groupBy("doc_id", "item_id").agg(F.max("n").alias("best_window"))
-    return dense.where(F.col("best_window") >= run - missing)
-
-
-def all_matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN, missing: int = MISSING, band: int = BAND) -> DataFrame:
-    """``doc_id, item_id, kind, longest_run, near_words, item_words, best_window``: exact and near matches.
-
-    ``kind`` is exact for the rows of ``matches``, else near; a near row has no ``longest_run`` and ``near_words``.
+    terms = item_terms(items)
+    return exact(build_index(documents, terms), terms, run)
+
+
+def all_matches(documents: DataFrame, items: DataFrame, run: int = LEAST_RUN) -> DataFrame:
+    """``doc_id, item_id, kind, longest_run, best_window, item_words``: exact and near matches.
+
+    ``kind`` is exact for the rows of :func:`matches`, else near; a near row has no ``longest_run``.
     """
-    terms = cut_lineage(item_terms(items))
-    exact = matches(documents, items, run)
-    size = terms.groupBy("item_id").agg(F.count("*").alias("size"))
-    both = exact.join(near(build_index(documents, terms), terms, run, missing, band), ["doc_id", "item_id"], "full").join(F.broadcast(size), "item_id")
+    terms = item_terms(items)
+    index = build_index(documents, terms)
+    size = terms.groupBy("item_id").agg((F.max("at") + 1).cast("bigint").alias("item_words"))
+    both = near(index, terms, run).join(exact(index, terms, run).hint("merge"), ["doc_id", "item_id"], "full")
     kind = F.when(F.col("longest_run").isNotNull(), "exact").otherwise("near")
-    return both.select("doc_id", "item_id", kind.alias("kind"), "longest_run", "near_words", F.col("size").alias("item_words"), "best_window")
+    return met(both, size, "item_id", limit=SENT_ROWS).select("doc_id", "item_id", kind.alias("kind"), "longest_run", "best_window", "item_words")

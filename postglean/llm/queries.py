@@ -63,6 +63,18 @@ i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p8_matches": r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dt AS (SELECT doc_id, k, array_to_string(w[k:k+2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+it AS (SELECT item_id, k, array_to_string(w[k:k+2], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS k FROM i)),
+h AS (SELECT DISTINCT doc_id, item_id, it.k AS p, dt.k - it.k AS s FROM dt JOIN it USING (g)),
+r AS (SELECT doc_id, item_id, s, p - row_number() OVER (PARTITION BY doc_id, item_id, s ORDER BY p) AS o FROM h),
+e AS (SELECT doc_id, item_id, max(n) + 2 AS longest_run FROM (SELECT doc_id, item_id, s, o, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL HAVING max(n) >= 10),
+b AS (SELECT DISTINCT doc_id, item_id, p, s + unnest([-2, -1, 0]) AS s FROM h),
+c AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, s ORDER BY p RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM b),
+n AS (SELECT doc_id, item_id, max(n) AS best_window FROM c GROUP BY ALL HAVING max(n) >= 4)
+SELECT doc_id, item_id, CASE WHEN longest_run IS NULL THEN 'near' ELSE 'exact' END AS kind, longest_run, best_window, len(w) AS item_words FROM n LEFT JOIN e USING (doc_id, item_id) JOIN i USING (item_id)""",
         "p7_found": _PAIRS + "SELECT msg_id_a, msg_id_b FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7",
         "p7_groups": _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + r""",
 l AS (SELECT msg_id_a AS a, msg_id_b AS b FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7 UNION SELECT msg_id_b, msg_id_a FROM c WHERE both_n::DOUBLE / (na + nb - both_n) >= 0.7),
