@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import met
+
 EventType = tuple[str, str]
 MAX_TYPES = 4096
 BLOCK = 8
@@ -29,6 +31,15 @@ def bare_address(raw: Column) -> Column:
     return F.lower(F.when(found != "", found))
 
 
+def _name() -> Column:
+    return F.upper(F.regexp_replace("verdict", r"\s+", ""))
+
+
+def _codes(reasons: Column) -> Column:
+    codes = F.array_distinct(F.filter(F.from_json(reasons, "array<string>"), lambda x: x.isNotNull() & (x != "")))
+    return F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("")))
+
+
 def scored_events(emails: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row per event: ``sender, received_at, mailbox, uid, score, verdict, reason``.
 
@@ -43,26 +54,27 @@ def scored_events(emails: DataFrame, verdicts: DataFrame) -> DataFrame:
         .agg(F.max("sender").alias("sender"), F.max("received_at").alias("received_at"))
         .where("sender is not null and received_at is not null")
     )
-    name = F.upper(F.regexp_replace("verdict", r"\s+", ""))
+    name = _name()
     last = (
         verdicts.select("mailbox", "uid", "created_at", name.alias("verdict"), "reasons_json", "score")
         .where("verdict is not null and verdict <> ''")
         .groupBy("mailbox", "uid")
         .agg(F.max(F.struct("created_at", "verdict", "reasons_json", "score")).alias("v"))
     )
-    codes = F.array_distinct(F.filter(F.from_json("v.reasons_json", "array<string>"), lambda x: x.isNotNull() & (x != "")))
-    codes = F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("")))
+    codes = _codes(F.col("v.reasons_json"))
     return mail.join(last, ["mailbox", "uid"]).select(
         "sender", "received_at", "mailbox", "uid", F.col("v.score").alias("score"), F.col("v.verdict").alias("verdict"), F.explode(codes).alias("reason")
     )
 
 
-def event_types(events: DataFrame, limit: int = MAX_TYPES) -> list[EventType]:
-    """The types that occur. They are column names, so there may be at most ``limit``; beyond it this raises."""
-    found = events.select("verdict", "reason").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} event types; give a list of types")
-    return sorted((r[0], r[1]) for r in found)
+def event_types(verdicts: DataFrame, limit: int = MAX_TYPES) -> list[EventType] | None:
+    """The types that ``verdicts`` name, from one narrow scan of them, so that the events are built once.
+
+    They become column names and go to every task; null where there are more than ``limit``.
+    """
+    rows = verdicts.where("verdict is not null and verdict <> ''").select(_name().alias("verdict"), F.explode(_codes(F.col("reasons_json"))).alias("reason"))
+    found = rows.distinct().limit(limit + 1).collect()
+    return None if len(found) > limit else sorted((r[0], r[1]) for r in found)
 
 
 def feature_blocks(events: DataFrame, types: Sequence[EventType], width: int = BLOCK) -> DataFrame:
@@ -72,12 +84,9 @@ def feature_blocks(events: DataFrame, types: Sequence[EventType], width: int = B
     blocks keep the aggregation row small: one row for all types would be thousands of mostly empty fields, both in
     generated code and in the shuffle. Equal times go to the greater (mailbox, uid).
     """
-    number = F.create_map(*[F.lit(x) for k, (v, r) in enumerate(types) for x in (f"{v}\x1f{r}", k)]) if types else F.lit(None).cast("map<string,int>")
-    slotted = (
-        events.withColumn("k", F.element_at(number, F.concat_ws("\x1f", "verdict", "reason")))
-        .where("k is not null")
-        .select("sender", F.floor(F.col("k") / width).cast("int").alias("block"), (F.col("k") % width).alias("slot"), "score", F.struct("received_at", "mailbox", "uid").alias("at"))
-    )
+    spark = events.sparkSession
+    numbers = spark.createDataFrame([(v, r, k // width, k % width) for k, (v, r) in enumerate(types)], "verdict string, reason string, block int, slot int")
+    slotted = met(events, numbers, ["verdict", "reason"], limit=MAX_TYPES).select("sender", "block", "slot", "score", F.struct("received_at", "mailbox", "uid").alias("at"))
     wide = []
     for i in range(width):
         here = F.col("slot") == i
@@ -102,8 +111,14 @@ def feature_table(events: DataFrame, types: Sequence[EventType], width: int = BL
     return rows.select("sender", *out)
 
 
-def found_cells(events: DataFrame, types: Sequence[EventType], width: int = BLOCK) -> DataFrame:
-    """The filled cells of the feature table as rows ``sender, verdict, reason, n, total_score, last_at, last_mailbox, last_uid``."""
+def found_cells(events: DataFrame, types: Sequence[EventType] | None, width: int = BLOCK) -> DataFrame:
+    """The filled cells of the feature table as rows ``sender, verdict, reason, n, total_score, last_at, last_mailbox, last_uid``.
+
+    Without a list (more types than can be columns) the type is a key of the aggregation and not a place in it.
+    """
+    if types is None:
+        cells = events.groupBy("sender", "verdict", "reason").agg(F.count("*").alias("n"), F.sum("score").alias("total_score"), F.max(F.struct("received_at", "mailbox", "uid")).alias("last"))
+        return cells.select("sender", "verdict", "reason", "n", "total_score", F.col("last.received_at").alias("last_at"), F.col("last.mailbox").alias("last_mailbox"), F.col("last.uid").alias("last_uid"))
     names = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("reason")) for v, r in types] or [F.struct(F.lit("").alias("verdict"), F.lit("").alias("reason"))])
     rows = feature_blocks(events, types, width).select("sender", "block", F.posexplode("cells").alias("i", "c")).where("c.n > 0")
     kind = F.get(names, F.col("block") * width + F.col("i"))

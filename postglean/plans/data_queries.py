@@ -12,13 +12,13 @@ from ..sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return ef.scored_events(table(spark, folder, "emails"), table(spark, folder, "verdicts"))
+def _events(spark: SparkSession, folder: str) -> tuple[DataFrame, list[ef.EventType] | None]:
+    verdicts = table(spark, folder, "verdicts")
+    return ef.scored_events(table(spark, folder, "emails"), verdicts), ef.event_types(verdicts)
 
 
 def p4_cells(spark: SparkSession, folder: str) -> DataFrame:
-    events = _events(spark, folder)
-    return ef.found_cells(events, ef.event_types(events)).withColumn("total_score", F.round("total_score", 6))
+    return ef.found_cells(*_events(spark, folder)).withColumn("total_score", F.round("total_score", 6))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,21 +26,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_features(spark: SparkSession, folder: str) -> DataFrame:
-    events = _events(spark, folder)
-    return ef.feature_table(events, ef.event_types(events))
+    """One row per sender, three columns per type; more types than ``ef.MAX_TYPES`` have no such table."""
+    events, types = _events(spark, folder)
+    if types is None:
+        raise ValueError(f"more than {ef.MAX_TYPES} event types can't be columns; read p4_cells")
+    return ef.feature_table(events, types)
 
 
-def _resolved(spark: SparkSession, folder: str) -> DataFrame:
+def _resolved(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
     relays = table(spark, folder, "relays")
-    return ts.resolve_times(ts.time_entries(table(spark, folder, "messages"), relays), relays)
+    return ts.resolve_times(ts.time_entries(table(spark, folder, "messages"), relays), relays, texts)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return ts.matching_log_rows(_resolved(spark, folder), table(spark, folder, "delivery_log"))
+    return ts.matching_log_rows(_resolved(spark, folder, False), table(spark, folder, "delivery_log"))
 
 
 def p6_instants(spark: SparkSession, folder: str) -> DataFrame:
-    return _resolved(spark, folder)
+    return _resolved(spark, folder, True)
 
 
 def queries() -> dict[str, Query]:
