@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import met, stored
+
 # Month names, zone names of mail headers with their offsets in minutes.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ZONES = {
@@ -36,6 +38,8 @@ SHAPES = (
 NEAR_DAYS, FAR_LIKELIHOOD = 4.0, 0.02
 #: Weight of a relay's declared date order, in values; posterior needed to accept a reading; iterations.
 PRIOR_WEIGHT, ACCEPT, ROUNDS = 20.0, 0.9, 25
+#: Tables of relays and sources up to so many rows are sent to every task; parts of a hot source in the join beyond that.
+SENT_ROWS, SALT = 100_000, 16
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -136,7 +140,7 @@ def order_mixture(values: DataFrame, declared: DataFrame, rounds: int = ROUNDS)
     ratio = F.round(F.least(F.greatest((F.log(F.col("l_dmy") + 1e-9) - F.log(F.col("l_mdy") + 1e-9)), F.lit(-10.0)), F.lit(10.0)) * 2)
     bins = values.groupBy("source", ratio.alias("ratio")).agg(F.count("*").cast("double").alias("n"))
     one = bins.groupBy("source").agg(F.collect_list(F.struct(F.exp(F.col("ratio") / 2).alias("r"), "n")).alias("bins"))
-    one = one.join(F.broadcast(declared.select("source", "date_order")), "source", "left")
+    one = met(one, declared.select("source", "date_order"), "source", "left", SENT_ROWS)
     prior = F.when(F.col("date_order") == "dmy", 0.98).when(F.col("date_order") == "mdy", 0.02).otherwise(0.5)
     weight = F.when(F.col("date_order").isNotNull(), PRIOR_WEIGHT).otherwise(2.0)
     step = lambda p: F.aggregate("bins", prior * weight, lambda s, b: s + b["n"] * p * b["r"] / (p * b["r"] + 1 - p)) / F.aggregate("bins", weight, lambda s, b: s + b["n"])
@@ -155,29 +159,30 @@ def time_entries(messages: DataFrame, relays: DataFrame) -> DataFrame:
         lambda x, i: F.struct((i + 1).alias("hop_no"), F.lower(F.regexp_extract(x, r"(?i)\bby\s+([^\s;()]+)", 1)).alias("source"), F.when(F.contains(x, F.lit(";")), F.substring_index(x, ";", -1)).alias("text")),
     )
     rows = messages.select("msg_id", F.explode(F.concat(F.array(first), hops)).alias("e")).select("msg_id", F.col("e.hop_no").cast("bigint").alias("hop_no"), "e.source", "e.text")
-    zones = F.broadcast(relays.groupBy(F.lower("host").alias("source")).agg(F.max("tz").alias("home")))
-    return rows.join(zones, "source", "left").withColumn("tz", F.when(F.col("hop_no") == 0, "UTC").otherwise(F.col("home"))).drop("home")
+    zones = relays.groupBy(F.lower("host").alias("source")).agg(F.max("tz").alias("home"))
+    return met(rows, zones, "source", "left", SENT_ROWS).withColumn("tz", F.when(F.col("hop_no") == 0, "UTC").otherwise(F.col("home"))).drop("home")
 
 
-def resolve_times(entries: DataFrame, relays: DataFrame) -> DataFrame:
-    """``entries`` with ``at`` (UTC timestamp or null), ``precision``, ``order``, ``posterior``, ``state``.
+def resolve_times(entries: DataFrame, relays: DataFrame, texts: bool = True) -> DataFrame:
+    """``entries`` with ``at`` (UTC timestamp or null), ``precision``, ``order``, ``posterior``, ``state``; ``text`` only with ``texts``.
 
     ``state``: ``resolved``, ``ambiguous`` (several valid readings, none with a posterior of ``ACCEPT``), ``undetermined``
     (no valid reading). The anchor of a value is the mean of the single-reading times of its message; a message's
-    entries are few, so no group is large even when one source holds a third of all rows.
+    entries are few, so no group is large even when one source holds a third of all rows. The parsed entries are stored,
+    so each text is parsed once, though the mixture and the decision both need it.
     """
     parsed = parse_times(entries, "text", "tz")
-    per = F.collect_list(F.struct("hop_no", "source", "text", "readings", "slash", "precision"))
+    per = F.collect_list(F.struct("hop_no", "source", *(["text"] if texts else []), "readings", "slash", "precision"))
     mean = F.expr("transform(filter(es, e -> size(e.readings) = 1), e -> e.readings[0].at)")
     by = parsed.groupBy("msg_id").agg(per.alias("es")).withColumn("known", mean)
     anchor = F.when(F.size("known") > 0, F.aggregate("known", F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size("known"))
     rows = by.withColumn("anchor", anchor).select("msg_id", "anchor", F.explode("es").alias("e")).select("msg_id", "anchor", "e.*")
     like = lambda order: F.coalesce(F.aggregate("readings", F.lit(None).cast("double"), lambda s, r: F.coalesce(s, F.when(r["order"] == order, _likelihood(r["at"], F.col("anchor"))))), F.lit(0.0))
-    rows = rows.withColumn("l_dmy", like("dmy")).withColumn("l_mdy", like("mdy"))
     slash = F.col("slash") & (F.size("readings") >= 1)
+    rows = stored(rows.withColumn("l_dmy", F.when(slash, like("dmy"))).withColumn("l_mdy", F.when(slash, like("mdy"))).drop("anchor"), "times")
     orders = relays.groupBy(F.lower("host").alias("source")).agg(F.max("date_order").alias("date_order"))
-    mix = order_mixture(rows.where(slash & F.col("source").isNotNull()), orders)
-    rows = rows.join(mix, "source", "left")
+    mix = order_mixture(rows.where(slash & F.col("source").isNotNull()), orders).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = met(rows.withColumn("salt", F.when(slash, F.pmod(F.xxhash64("msg_id", "hop_no"), F.lit(SALT)).cast("int"))), mix, ["source", "salt"], "left", SENT_ROWS)
     p = F.coalesce("p_dmy", F.lit(0.5))
     first = p * F.col("l_dmy") / (p * F.col("l_dmy") + (1 - p) * F.col("l_mdy"))
     rows = rows.withColumn("first", F.when(slash, first)).withColumn(
@@ -188,7 +193,7 @@ def resolve_times(entries: DataFrame, relays: DataFrame) -> DataFrame:
     state = F.when(F.col("order").isNull(), "undetermined").when(F.col("posterior") >= ACCEPT, "resolved").otherwise("ambiguous")
     at = F.filter("readings", lambda r: r["order"] == F.col("order"))
     rows = rows.withColumn("posterior", post).withColumn("state", state)
-    return rows.select("msg_id", "hop_no", "source", "text", "precision", "order", "posterior", "state", F.when(F.col("state") == "resolved", F.timestamp_micros(F.get(at, F.lit(0))["at"])).alias("at"))
+    return rows.select("msg_id", "hop_no", "source", *(["text"] if texts else []), "precision", "order", "posterior", "state", F.when(F.col("state") == "resolved", F.timestamp_micros(F.get(at, F.lit(0))["at"])).alias("at"))
 
 
 def matching_log_rows(resolved: DataFrame, log: DataFrame) -> DataFrame:
