@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage, met
+
 FIELDS = ("subject", "body_plain")
 #: Encodings in which UTF-8 bytes are read by mistake.
 READ_AS = ("cp1252", "cp850", "cp437", "mac_roman", "cp1251")
@@ -22,6 +25,8 @@ ONE_BYTE = (("cp1251", "cp1252"),)
 #: Log-likelihood ratios of one sequence against clean text: surely garbled, readable as chance, decodes to a rare sign.
 SURE, CHANCE, WEAK, RARE = 9.0, 1.5, 0.6, -0.5
 LEAST, MOST = -4, 24
+#: Rows of a table of sources up to which it is sent to every task.
+SENT_ROWS = 100_000
 #: Prior share of affected records, its weight in records, accepted posterior, iterations, parts of a hot source.
 PRIOR, PRIOR_RECORDS, ACCEPT, ROUNDS, SALT = 0.002, 50.0, 0.5, 20, 16
 
@@ -105,13 +110,15 @@ def evidence(text: str) -> dict[str, float]:
     return out
 
 
-def repair(text: str, chains: list[str], depth: int = 4) -> str:
+def repair(text: str, chains: list[str]) -> str:
     """``text`` with the sequences of ``chains`` put back, again and again for text garbled several times.
 
-    The chain that explains the most goes first; what was lost for good (replacement or question marks) stays.
+    The chain that explains the most goes first; what was lost for good (replacement or question marks) stays. Every round
+    that changes something makes the text shorter in UTF-8, or ends.
     """
-    for _ in range(depth):
-        before = text
+    size = len(text.encode("utf-8", "replace")) + 1
+    while len(text.encode("utf-8", "replace")) < size:
+        before, size = text, len(text.encode("utf-8", "replace"))
         ranked = sorted(((v, k) for k, v in evidence(text).items() if k in chains and v > 0), reverse=True)
         for _, chain in ranked[:1]:
             wrote, _, read = chain.partition(">")
@@ -156,7 +163,7 @@ def chain_shares(found: DataFrame, messages: DataFrame) -> DataFrame:
     domain = F.lower(F.coalesce(F.nullif(F.regexp_extract("from_addr", r"@([^@>\s]+)", 1), F.lit("")), F.lit("")))
     size = messages.groupBy(domain.alias("source")).agg(F.count("*").cast("double").alias("records"))
     bins = found.groupBy("source", "field", "chain", F.least(F.greatest(F.round("llr"), F.lit(float(LEAST))), F.lit(float(MOST))).alias("l")).agg(F.count("*").cast("double").alias("n"))
-    rows = bins.groupBy("source", "field", "chain").agg(F.collect_list(F.struct(F.exp("l").alias("r"), "n")).alias("bins")).join(size, "source")
+    rows = bins.groupBy("source", "field", "chain").agg(F.collect_list(F.struct(F.exp("l").alias("r"), "n")).alias("bins")).join(size.hint("merge"), "source")
     step = lambda p: F.aggregate("bins", F.lit(PRIOR * PRIOR_RECORDS), lambda s, b: s + b["n"] * p * b["r"] / (p * b["r"] + 1 - p)) / (F.col("records") + PRIOR_RECORDS)
     share = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(0.05), lambda p, _: F.least(F.greatest(step(p), F.lit(1e-6)), F.lit(0.99)))
     return rows.select("source", "field", "chain", share.alias("share"))
@@ -173,7 +180,7 @@ def garbled(messages: DataFrame) -> DataFrame:
     odds = F.exp("llr") * F.col("share") / (1 - F.col("share"))
     return (
         found.withColumn("salt", F.pmod(F.xxhash64("msg_id"), F.lit(SALT)).cast("int"))
-        .join(shares, ["source", "field", "chain", "salt"])
+        .join(shares.hint("merge"), ["source", "field", "chain", "salt"])
         .where(odds / (1 + odds) >= ACCEPT)
         .groupBy("msg_id", "field")
         .agg(F.sort_array(F.collect_set("chain")).alias("chains"))
@@ -184,14 +191,30 @@ def repaired(messages: DataFrame) -> DataFrame:
     """``msg_id, field, chains, text, restored``: the affected fields with the text put back as far as possible.
 
     ``restored`` tells whether nothing garbled is left. Repeated rows of one ``msg_id`` come out as often as they are.
+    The texts don't shuffle: the shares of the chains go to every task, where each text's posterior is worked out beside
+    its repair. Only with more than ``SENT_ROWS`` affected sources the chains are joined to the texts instead.
     """
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in FIELDS])).alias("x")
-    rows = messages.select("msg_id", fields).select("msg_id", "x.*").where("raw is not null").join(garbled(messages), ["msg_id", "field"])
+    domain = F.lower(F.coalesce(F.nullif(F.regexp_extract("from_addr", r"@([^@>\s]+)", 1), F.lit("")), F.lit("")))
+    rows = messages.select("msg_id", domain.alias("source"), fields).select("msg_id", "source", "x.*").where("raw is not null")
+    found = chain_evidence(messages)
+    shares = cut_lineage(chain_shares(found, messages).groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "share"))).alias("shares")))
+    if shares.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        ready = rows.join(garbled(messages).hint("merge"), ["msg_id", "field"]).select("msg_id", "field", "raw", F.map_from_arrays("chains", F.transform("chains", lambda _: F.lit(0.99))).alias("shares"))
+    else:
+        ready = met(rows, shares, ["source", "field"], limit=SENT_ROWS).select("msg_id", "field", "raw", "shares")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [repair(t, c) for t, c in zip(b.column("raw").to_pylist(), b.column("chains").to_pylist())]
-            left = [not any(v >= SURE for v in evidence(t).values()) for t in made]
-            yield pa.RecordBatch.from_arrays([b.column("msg_id"), b.column("field"), b.column("chains"), pa.array(made, pa.string()), pa.array(left, pa.bool_())], names=["msg_id", "field", "chains", "text", "restored"])
-
-    return rows.mapInArrow(run, "msg_id bigint, field string, chains array<string>, text string, restored boolean")
+            at, chains, made, left = [], [], [], []
+            for i, (text, known) in enumerate(zip(b.column("raw").to_pylist(), b.column("shares").to_pylist())):
+                known = dict(known)
+                odds = {c: exp(min(v, float(MOST))) * known[c] / (1 - known[c]) for c, v in evidence(text).items() if c in known}
+                own = sorted(c for c, o in odds.items() if o / (1 + o) >= ACCEPT)
+                if own:
+                    text = repair(text, own)
+                    at.append(i), chains.append(own), made.append(text), left.append(not any(v >= SURE for v in evidence(text).values()))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("msg_id").take(take), b.column("field").take(take), pa.array(chains, pa.list_(pa.string())), pa.array(made, pa.string()), pa.array(left, pa.bool_())], names=["msg_id", "field", "chains", "text", "restored"])
+
+    return ready.mapInArrow(run, "msg_id bigint, field string, chains array<string>, text string, restored boolean")

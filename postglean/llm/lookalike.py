@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -72,12 +72,31 @@ def skeleton_sql(x: str) -> str:
     return f"nfc_normalize(translate({x}, {_text(''.join(table))}, {_text(''.join(table.values()))}))"
 
 
+def one_script_sql(x: str) -> str:
+    """SQL that brings each word of canonical text ``x`` into one script: words that read alike become equal.
+
+    A letter that only one script draws decides (Latin before Cyrillic before Greek); words of look-alikes alone become
+    Latin. Words that read alike have the same such letters, so the decision is the same for both.
+    """
+    shared = {**GREEK, **CYRILLIC}
+    latin = "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and c not in shared.values() and c not in LATIN)
+    to_cyrillic = {b: a for a, b in CYRILLIC.items() if a not in "ҮүԁӀѵѴ"} | {a: next(c for c, d in CYRILLIC.items() if d == b) for a, b in GREEK.items() if b in CYRILLIC.values()}
+    to_greek = {b: a for a, b in GREEK.items()} | {a: next(c for c, d in GREEK.items() if d == b) for a, b in CYRILLIC.items() if b in GREEK.values()}
+    only = lambda lo, hi, table: "".join(c for c in map(chr, range(lo, hi)) if c.isalpha() and c not in table)
+    step = lambda table: f"translate(w, {_text(''.join(table))}, {_text(''.join(table.values()))})"
+    rules = ((latin, {**LATIN, **shared}), (only(0x400, 0x530, CYRILLIC), to_cyrillic), (only(0x370, 0x400, GREEK), to_greek))
+    cases = " ".join(f"WHEN regexp_matches(w, '[{letters}]') THEN {step(table)}" for letters, table in rules)
+    word = f"CASE WHEN NOT regexp_matches(w, '[\\x{{250}}-\\x{{52F}}]') THEN w {cases} ELSE {step({**LATIN, **shared})} END"
+    return f"nfc_normalize(array_to_string(list_transform(string_split({x}, ' '), lambda w: {word}), ' '))"
+
+
 def _connect(watch: pa.Table | None = None):
     import duckdb
 
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE MACRO canonical(x) AS CASE WHEN x IS NULL THEN NULL WHEN NOT regexp_matches(x, '{UNPLAIN}') THEN trim(regexp_replace(x, '\\s+', ' ', 'g')) ELSE {canonical_sql('x')} END")
     con.execute(f"CREATE MACRO skeleton(x) AS CASE WHEN NOT regexp_matches(x, '[^\\x00-\\x7F]') THEN x ELSE {skeleton_sql('x')} END")
+    con.execute(f"CREATE MACRO one_script(x) AS CASE WHEN NOT regexp_matches(x, '[\\x{{250}}-\\x{{52F}}]') THEN x ELSE {one_script_sql('x')} END")
     if watch is not None:
         con.register("given", watch)
         con.execute("CREATE TABLE watch AS SELECT watch_id, kind, watch_text, skeleton(canonical(watch_text)) AS form FROM given WHERE trim(watch_text) <> ''")
@@ -87,10 +106,11 @@ def _connect(watch: pa.Table | None = None):
 def canonical_fields(messages: DataFrame) -> DataFrame:
     """``msg_id`` with ``from_display, subject, body_plain`` in the consistent form, whole texts; null stays null, '' stays ''.
 
-    Letters keep their script and case; only forms of the same character are unified. Rows are taken as they come, so
+    Forms of one character are unified and each word is brought into one script, so that words which read alike are
+    equal; case stays. Rows are taken as they come, so
     ties and repeated rows stay. Not shuffled.
     """
-    sql = "SELECT msg_id, " + ", ".join(f"canonical({f}) AS {f}" for f in FIELDS) + " FROM part"
+    sql = "SELECT msg_id, " + ", ".join(f"one_script(canonical({f})) AS {f}" for f in FIELDS) + " FROM part"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _connect()
@@ -107,11 +127,15 @@ def disguised(messages: DataFrame, watch_texts: DataFrame, max_watched: int = 10
 
     A ``display_name`` must be the whole of ``from_display``, a ``phrase`` may stand anywhere in the other fields; case
     counts. Null and empty texts match nothing; equal watched texts under two ids are two rows. ``watch_texts`` goes to
-    every task, so it may have at most ``max_watched`` rows (more raise). Columns of clashing names are not read.
+    every task in blocks of about ``max_watched`` rows, each met by all messages. Columns of clashing names are not read.
     """
-    rows = watch_texts.select("watch_id", "kind", "watch_text").limit(max_watched + 1).collect()
-    if len(rows) > max_watched:
-        raise ValueError(f"more than {max_watched} watched texts")
+    rows = watch_texts.select("watch_id", "kind", "watch_text")
+    blocks = rows.count() // max_watched + 1
+    parts = [_disguised(messages, rows.where(F.pmod(F.xxhash64("watch_id", "watch_text"), F.lit(blocks)) == i).collect()) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _disguised(messages: DataFrame, rows: list) -> DataFrame:
     given = pa.table({"watch_id": [r[0] for r in rows], "kind": [r[1] for r in rows], "watch_text": [r[2] for r in rows]}, schema=pa.schema([("watch_id", pa.int64()), ("kind", pa.string()), ("watch_text", pa.string())]))
     # A text of ASCII without runs of spaces or line ends hides nothing: it contains what it shows.
     sql = """

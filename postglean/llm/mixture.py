@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -24,7 +25,7 @@ TOPICS = (
     ("guide", r"(?i)^(how|wie|comment|cómo)\b"),
     ("notes", r"(?i)^(notes|hinweise|notas)\b"),
 )
-ROUNDS, TOLERANCE, BINS = 200, 1e-9, 4096
+ROUNDS, TOLERANCE, BINS = 5_000, 1e-9, 4096
 
 
 @lru_cache(maxsize=4)
@@ -84,7 +85,7 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], caps: np.ndarray) -> np.
     shape = [tuple(-1 if a == k else 1 for a in range(tokens.ndim)) for k in range(tokens.ndim)]
 
     def scale(k: int, w: np.ndarray) -> np.ndarray:
-        for _ in range(20):
+        for _ in range(w.size + 1):  # each turn but the last brings another cell to its cap
             now = (tokens * w).sum(axes[k])
             less = targets[k] <= now  # all cells shrink; only those below their cap grow
             open_cells = np.where(less.reshape(shape[k]), True, w < cap * (1 - 1e-12))
@@ -101,40 +102,55 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], caps: np.ndarray) -> np.
         for k in [*range(1, tokens.ndim), 0]:
             w = scale(k, w)
         if np.abs(w - before).max() < TOLERANCE:
-            break
+            return w
+    short = max(float(np.abs((tokens * w).sum(a) - t).max() / max(t.sum(), 1e-12)) for a, t in zip(axes, targets))
+    warnings.warn(f"raking did not settle in {ROUNDS} rounds: the targets and caps can't all be met, the farthest share is off by {short:.4f}", stacklevel=2)
     return w
 
 
-def plan(sized_docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, max_sources: int = 10_000) -> tuple[list[tuple], float]:
+def _wanted(names: list[str], have: np.ndarray, goal: dict[str, float] | None) -> np.ndarray:
+    """Shares of a margin: those of ``goal`` among the names that have tokens, scaled to 1; the corpus's own without a goal."""
+    share = have / have.sum() if goal is None else np.array([max(float(goal.get(n, 0.0)), 0.0) for n in names]) * (have > 0)
+    if share.sum() <= 0:
+        raise ValueError("no target share belongs to a name that has tokens")
+    return share / share.sum()
+
+
+def plan(
+    sized_docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, max_sources: int = 10_000, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None
+) -> tuple[list[tuple], float]:
     """Weight (mean copies) of every (source, language, topic) cell, and the mixture's size in tokens.
 
     Shares are those of the sources that have documents, scaled to 1. Without ``total_tokens`` the mixture is as large as
-    all shares can be met exactly. Only sums per cell reach the driver: at most ``max_sources`` x languages x topics.
+    all shares can be met exactly. ``languages`` and ``topics`` are target shares too; without them the documents' own shares
+    are kept. Only sums per cell reach the driver: at most ``max_sources`` x languages x topics.
     """
     goal = {r[0]: (float(r[1]), float(r[2])) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats").limit(max_sources + 1).collect()}
     if len(goal) > max_sources:
         raise ValueError(f"more than {max_sources} target sources")
-    names = F.broadcast(targets.select("source").distinct())
+    names = F.broadcast(targets.select("source").distinct())  # bounded by max_sources, checked above
     sums = sized_docs.where("tokens > 0").join(names, "source", "left_semi").groupBy("source", "language", "topic").agg(F.sum("tokens").alias("t")).collect()
     sums = [r for r in sums if r[0] in goal]
     if not sums:
         return [], 0.0
-    sources, langs, topics = (sorted({r[k] for r in sums}) for k in range(3))
-    cells = np.zeros((len(sources), len(langs), len(topics)))
+    sources, langs, kinds = (sorted({r[k] for r in sums}) for k in range(3))
+    cells = np.zeros((len(sources), len(langs), len(kinds)))
     for s, g, t, n in sums:
-        cells[sources.index(s), langs.index(g), topics.index(t)] = n
+        cells[sources.index(s), langs.index(g), kinds.index(t)] = n
     share = np.array([goal[s][0] for s in sources])
     share /= share.sum()
     caps = np.array([goal[s][1] for s in sources])
     have = cells.sum((1, 2))
     size = total_tokens or float((have * caps / share).min())
-    margins = [share * size, cells.sum((0, 2)) / cells.sum() * size, cells.sum((0, 1)) / cells.sum() * size]
+    margins = [share * size, _wanted(langs, cells.sum((0, 2)), languages) * size, _wanted(kinds, cells.sum((0, 1)), topics) * size]
     w = rake(cells, margins, caps)
-    rows = [(sources[i], langs[j], topics[k], float(w[i, j, k]), float(cells[i, j, k])) for i, j, k in zip(*np.nonzero(cells))]
+    rows = [(sources[i], langs[j], kinds[k], float(w[i, j, k]), float(cells[i, j, k])) for i, j, k in zip(*np.nonzero(cells))]
     return rows, size
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, folder: str | None = None) -> DataFrame:
+def mixture(
+    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, folder: str | None = None, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None
+) -> DataFrame:
     """``doc_id, source, tokens, copies``: the documents taken, each at most ``max_repeats`` times.
 
     A document of a cell with weight w comes floor(w) times, and once more when its u lies below a cut times the rest
@@ -145,7 +161,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     from ..session import cut_lineage
 
     docs = cut_lineage(sized(documents, folder))
-    cells, _ = plan(docs, targets, total_tokens)
+    cells, _ = plan(docs, targets, total_tokens, languages=languages, topics=topics)
     if not cells:
         return docs.select("doc_id", "source", "tokens", F.lit(0).cast("bigint").alias("copies")).limit(0)
     spark = documents.sparkSession
@@ -171,8 +187,14 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
 
 
 def shares(taken: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, max_repeats, documents, taken_tokens, actual_share, most_copies`` of every target source."""
+    """``source, target_share, max_repeats, documents, taken_tokens, actual_share, most_copies, reachable, wanted_share`` of every target source.
+
+    A source is ``reachable`` if the mixture holds a document of it; ``wanted_share`` is its target among the reachable ones.
+    """
     got = taken.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("taken_tokens"), F.max("copies").alias("most_copies"))
     rows = targets.join(got, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "taken_tokens", "most_copies")])
-    total = rows.agg(F.sum("taken_tokens").alias("all"))
-    return rows.crossJoin(F.broadcast(total)).select("*", F.when(F.col("all") > 0, F.col("taken_tokens") / F.col("all")).otherwise(0.0).alias("actual_share")).drop("all")
+    rows = rows.withColumn("reachable", F.col("documents") > 0)
+    reached = F.when(F.col("reachable"), F.col("target_share")).otherwise(0.0)
+    total = rows.agg(F.sum("taken_tokens").alias("all"), F.sum(reached).alias("open"))
+    part = lambda a, b: F.when(F.col(b) > 0, a / F.col(b)).otherwise(0.0)
+    return rows.crossJoin(F.broadcast(total)).select("*", part(F.col("taken_tokens"), "all").alias("actual_share"), part(reached, "open").alias("wanted_share")).drop("all", "open")  # one row

@@ -109,7 +109,7 @@ def mail_host(span: str) -> str:
 
 
 #: Near misses of addresses that few samples hold: prices, versions, and prose around "at" and "point".
-NEAR_MAIL = tuple(f"{a}{x}{b}" for x in ("12 @ 4.50", "3 @ 19.99", "lodash@4.17.21", "build@1.0.3", "price at that point is", "arrived at this point we", "look at this dot matrix", "stand at one point two", "be at home punkt zwölf", "estar at casa punto final") for a, b in (("", ""), ("The ", " today."), ("Note: ", ", see below"), ("so ", " again")))
+NEAR_MAIL = tuple(f"{a}{x}{b}" for x in ("12 @ 4.50", "3 @ 19.99", "lodash@4.17.21", "build@1.0.3", "price at that point is", "arrived at this point we", "look at this dot matrix", "stand at one point two", "be at home punkt zwölf", "estar at casa punto final", "release v1.2 at this point has", "Mr. Lund at that point was") for a, b in (("", ""), ("The ", " today."), ("Note: ", ", see below"), ("so ", " again")))
 #: How an address is spelled out, to make hits of known addresses.
 SPELLINGS = ("{0} (at) {1} (dot) {2}", "{0} [at] {1}.{2}", "{0} at {1} dot {2}", "{0} arroba {1} punto {2}", "{0} (ät) {1} (punkt) {2}", "{0}@{1}.{2}", "{0} @ {1}.{2}")
 
@@ -431,13 +431,16 @@ def fit(messages: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             continue
         near: list[str] = []
         if k == 0:  # known addresses in all spellings, beside texts that only look like one
-            split = [(a.partition("@")[0], *a.partition("@")[2].rpartition(".")[::2]) for a in own[:60]]
+            split = [(a.partition("@")[0].split(".")[0 if i % 2 else -1] if i % 3 else a.partition("@")[0], *a.partition("@")[2].rpartition(".")[::2]) for i, a in enumerate(own[:120])]
             near = [*NEAR_MAIL, *(f"{lead}{SPELLINGS[i % len(SPELLINGS)].format(*parts)}{end}" for i, parts in enumerate(split) for lead, end in (("", ""), ("Write to ", " soon.")))]
         elif k == 3:
             near = list(NEAR)
         made = [(x, label(k, t[s:e], x)) for t in near for kind, s, e, x in candidates(t, names, cache) if kind == k]
         spans += [(x, y, i % 4 == 0) for i, (x, y) in enumerate(made) if y is not None]
         x, y, held = np.array([r[0] for r in spans], float), np.array([r[1] for r in spans], float), np.array([r[2] for r in spans])
+        if k == 0:  # endings never seen must be judged by the form: hide every other known one; the shape of numbers says nothing
+            x[:, :-5] = 0
+            x[(np.arange(len(spans)) % 2 == 0) & (y > 0) & ((x[:, -3] > 0) | (x[:, -2] > 0)), -5] = 0
         if k == 4:  # names not learnt must be judged by form and context: hide the support of one in five
             hide = np.arange(len(spans)) % 5 == 0
             x[hide & (y > 0), -4] = 0
