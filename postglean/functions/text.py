@@ -21,7 +21,6 @@ CONFUSABLES = {
     "ı": "i", "ł": "l", "ø": "o", "0": "o", "1": "l", "3": "e", "5": "s",
 }
 LIGATURES = {"æ": "ae", "œ": "oe"}
-FOLD_LIMIT = 200_000
 ZERO_WIDTH = "[​‌‍﻿⁠­]"
 BIDI = "[‪-‮⁦-⁩]"
 STOPWORDS = (
@@ -44,9 +43,9 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def fold_confusables(x: Column) -> Column:
-    """Confusables replaced in texts with a non-ASCII character (cut to ``FOLD_LIMIT`` characters); others unchanged."""
-    cut = F.when(F.length(x) > FOLD_LIMIT, F.substring(x, 1, FOLD_LIMIT)).otherwise(x)
+def fold_confusables(x: Column, limit: int | None = None) -> Column:
+    """Confusables replaced in texts with a non-ASCII character; others unchanged. With a ``limit`` longer texts are cut to it."""
+    cut = x if limit is None else F.substring(x, 1, limit)
     mapped = F.translate(cut, "".join(CONFUSABLES), "".join(CONFUSABLES.values()))
     for a, b in LIGATURES.items():
         mapped = F.replace(mapped, F.lit(a), F.lit(b))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from email import message_from_bytes, policy
 from email.utils import getaddresses, parseaddr, parsedate_to_datetime
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrow import arrow_function
+from ..functions.text import BIDI, ZERO_WIDTH
 from ..operators.markup import measure
 
 BODY_LIMIT, FILE_LIMIT = 2 << 20, 10 << 20
@@ -18,21 +21,27 @@ MACRO_NAMES = (".docm", ".xlsm", ".pptm")
 SCHEMA = (
     "subject string, from_addr string, from_display string, reply_to string, return_path string, recipients array<string>, cc array<string>, headers map<string,string>, received_chain array<string>, "
     "spf_result string, dkim_result string, dmarc_result string, body_plain string, body_html string, visible_text string, links array<struct<href:string,text:string>>, "
-    "attachments array<struct<filename:string,content_type:string,size:bigint,has_macros:boolean,payload:binary>>, received_at timestamp, offset_minutes int, degraded boolean"
+    "attachments array<struct<filename:string,content_type:string,size:bigint,has_macros:boolean,payload:binary>>, received_at timestamp, offset_minutes int, cut boolean, degraded boolean"
 )
 NAMES = [p.split()[0] for p in re.split(r", (?=\w+ )", SCHEMA)]
 EMPTY = {n: None for n in NAMES}
 
 
+def normal_form(url: str) -> str:
+    """The form links are compared by: as ``urls.normalize_url``, for one text."""
+    x = re.sub(BIDI, "", re.sub(ZERO_WIDTH, "", unicodedata.normalize("NFKC", url.strip())))
+    return re.sub("(?i)hxxps?://", "http://", unquote(x)).replace("[.]", ".").replace("(.)", ".")
+
+
 def _result(text: str, name: str) -> str:
     low = text.lower()
     return "fail" if f"{name}=fail" in low else "pass" if f"{name}=pass" in low else "none"
 
 
-def parse(raw: bytes | None) -> dict:
+def parse(raw: bytes | None, body_limit: int = BODY_LIMIT, file_limit: int = FILE_LIMIT) -> dict:
     """Record of one message. Text parts are joined by a space; HTML gives the visible text and links where there is one.
 
-    Bodies are cut to ``BODY_LIMIT`` characters, payloads to ``FILE_LIMIT`` bytes (sizes are not); a date without zone is
+    Bodies are cut to ``body_limit`` characters, payloads to ``file_limit`` bytes (sizes are not), which ``cut`` tells; a date without zone is
     UTC, an unreadable one null. Null gives an empty record.
     """
     m = message_from_bytes(raw or b"", policy=policy.compat32)
@@ -45,19 +54,22 @@ def parse(raw: bytes | None) -> dict:
         data = part.get_payload(decode=True) or b""
         if part.get_content_disposition() == "attachment" or name or kind not in ("text/plain", "text/html"):
             name = name or "unknown"
-            files.append({"filename": name, "content_type": kind, "size": len(data), "has_macros": name.lower().endswith(MACRO_NAMES), "payload": data[:FILE_LIMIT]})
+            files.append({"filename": name, "content_type": kind, "size": len(data), "has_macros": name.lower().endswith(MACRO_NAMES), "payload": data[:file_limit]})
             continue
         try:
             text = data.decode(part.get_content_charset() or "utf-8", "replace")
         except LookupError:  # unknown charset name
             text = data.decode("utf-8", "replace")
         (html if kind == "text/html" else plain).append(text)
-    body, markup = " ".join(plain)[:BODY_LIMIT], " ".join(html)[:BODY_LIMIT]
+    body, markup = " ".join(plain), " ".join(html)
+    cut = max(len(body), len(markup)) > body_limit or any(f["size"] > file_limit for f in files)
+    body, markup = body[:body_limit], markup[:body_limit]
     display, address = parseaddr(head.get("From", ""))
     found = measure(markup, address.rpartition("@")[2]) if markup else None
     seen = {}
-    for a in found["links"] if found else []:
-        seen.setdefault(a["href"], a)
+    if found:  # anchors first, then addresses in the text outside of them; of equal normal forms the first stays
+        for a in [*found["links"], *({"href": u.rstrip(".,;)"), "text": ""} for u in URL.findall(found["own_text"]))]:
+            seen.setdefault(normal_form(a["href"]), a)
     links = list(seen.values()) if found else [{"href": u.rstrip(".,;)"), "text": ""} for u in URL.findall(body)]
     at, offset = None, None
     try:
@@ -71,7 +83,7 @@ def parse(raw: bytes | None) -> dict:
         "subject": head.get("Subject", ""), "from_addr": address, "from_display": display, "reply_to": head.get("Reply-To", ""), "return_path": head.get("Return-Path", ""),
         "recipients": [a for _, a in getaddresses(m.get_all("To", [])) if a], "cc": [a for _, a in getaddresses(m.get_all("Cc", [])) if a], "headers": head, "received_chain": [str(x) for x in m.get_all("Received", [])],
         **{f"{k}_result": _result(auth, k) for k in ("spf", "dkim", "dmarc")}, "body_plain": body, "body_html": markup, "visible_text": found["visible_text"] if found else body,
-        "links": links, "attachments": files, "received_at": at, "offset_minutes": offset, "degraded": False,
+        "links": links, "attachments": files, "received_at": at, "offset_minutes": offset, "cut": cut, "degraded": False,
     }
 
 
