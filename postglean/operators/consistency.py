@@ -47,7 +47,7 @@ def claims(text: Column, key: str, shown: str) -> Column:
 
 
 def identity_features(policy: Policy, display: Column, subject: Column, from_addr: Column, reply_to: Column, folded: Column | None = None, history: Column | None = None) -> dict[str, Column]:
-    """By name: the five identity features; ``folded`` may give the folded sender domain, ``history`` its mismatch."""
+    """By name: the five identity features, the domain shown in the display name and the brand claimed; ``folded`` may give the folded sender domain, ``history`` its mismatch."""
     sender, reply = clean_domain(from_addr), clean_domain(reply_to)
     shown = domain_in_text(display)
     text = F.concat_ws(" ", text_or_empty(display), text_or_empty(subject))
@@ -59,6 +59,8 @@ def identity_features(policy: Policy, display: Column, subject: Column, from_add
         visual.append(claimed & alike)
         other.append(claimed & ~alike)
     visual_any, other_any = _any(visual), _any(other)
+    shown_names = [name for name, _ in policy.brands.values()]
+    first = lambda flags: F.coalesce(*[F.when(c, n) for c, n in zip(flags, shown_names)], F.lit(None).cast("string"))
     known = belongs_to(reply, tuple(d for _, ds in policy.brands.values() for d in ds))
     differs = (reply != "") & (sender != "") & (reply != sender)
     return {
@@ -67,11 +69,12 @@ def identity_features(policy: Policy, display: Column, subject: Column, from_add
         "brand_domain_mismatch": F.when(visual_any, 0.9).when(other_any, 0.6).otherwise(0.0),
         "brand_visual_domain_mismatch": F.when(visual_any, 0.9).otherwise(0.0),
         "identity_history_mismatch": (F.lit(0.0) if history is None else F.coalesce(history, F.lit(0.0))),
-    }
+        "display_domain": shown, "claimed_brand": first([v | o for v, o in zip(visual, other)]),
+    }
 
 
 def link_features(urls: Column, image_text: Column, qr_urls: Column, visible: Column) -> dict[str, Column]:
-    """By name: the four link features over the links with shown text, the image's text and the code's targets."""
+    """By name: the four link features and what they speak of, over the links with shown text, the image's text and the code's targets."""
     shown = F.filter(urls, lambda u: F.trim(text_or_empty(u["display_text"])) != "")
     n = F.size(shown)
     part = lambda f: F.when(n > 0, F.size(F.filter(shown, f)) / n).otherwise(0.0)
@@ -85,7 +88,8 @@ def link_features(urls: Column, image_text: Column, qr_urls: Column, visible: Co
         "display_domain_mismatch": part(lambda u: (in_text(u) != "") & (text_or_empty(u["domain"]) != "") & (in_text(u) != u["domain"])),
         "ocr_url_mismatch": F.when((F.size(seen) > 0) & (F.size(domains) == 0), 0.5).when((F.size(seen) > 0) & ~F.arrays_overlap(seen, domains), 0.8).otherwise(0.0),
         "qr_context_mismatch": F.when((F.size(codes) > 0) & ~F.exists(codes, lambda h: F.contains(low, h)), 0.7).otherwise(0.0),
-    }
+        "links_shown": n, "image_domain": F.array_min(seen), "code_domain": F.array_min(codes),
+    }
 
 
 def declared_type_mismatch(name: Column, declared: Column) -> Column:
@@ -113,4 +117,4 @@ def semantic_features(head: Column, words: Column, urls: Column, attachments: Co
 def contradiction(features: dict[str, Column]) -> tuple[Column, Column]:
     """Contradiction (features of 0.5 or more, by four) and overall consistency (1 less the greatest)."""
     hits = sum((F.when(features[n] >= 0.5, 1.0).otherwise(0.0) for n in FEATURES), F.lit(0.0))
-    return F.round(F.least(hits / 4, F.lit(1.0)), 4), F.round(1 - F.greatest(*features.values()), 4)
+    return F.round(F.least(hits / 4, F.lit(1.0)), 4), F.round(1 - F.greatest(*[features[n] for n in FEATURES]), 4)
