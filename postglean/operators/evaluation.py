@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 BINS = 1000
 COSTS = {"false_positive": 1.0, "false_negative": 10.0, "block": 2.0, "review": 0.5}
 
@@ -44,10 +46,43 @@ def area(points: DataFrame) -> DataFrame:
     )
 
 
-def cheapest(points: DataFrame, costs: dict[str, float] | None = None) -> DataFrame:
-    """The threshold with the least cost of missed and false hits (ties: the least threshold)."""
-    c = costs or COSTS
-    return points.withColumn("cost", F.col("fp") * c["false_positive"] + F.col("fn") * c["false_negative"]).orderBy("cost", "threshold").limit(1)
+def cheapest(points: DataFrame, costs: dict[str, float] | None = None, review_width: float = 0.15, bins: int = BINS) -> DataFrame:
+    """The threshold with the least cost (ties: the least threshold): missed and false hits, and the handling of messages.
+
+    Scores from the threshold on are blocked, those at most ``review_width`` below it are reviewed; both cost their share.
+    """
+    c = COSTS | (costs or {})
+    hits = F.col("tp") + F.col("fp")
+    lower = F.first(hits).over(Window.orderBy("threshold").rowsBetween(-round(review_width * bins), 0))  # at most bins + 1 rows
+    out = points.withColumns({"blocked": hits, "reviewed": lower - hits})
+    cost = F.col("fp") * c["false_positive"] + F.col("fn") * c["false_negative"] + F.col("blocked") * c["block"] + F.col("reviewed") * c["review"]
+    return out.withColumn("cost", cost).orderBy("cost", "threshold").limit(1)
+
+
+def isotonic(rows: DataFrame, score: str = "score", label: str = "label", bins: int = BINS) -> DataFrame:
+    """``bin, n, rate, calibrated``: per score bin the share of hits and its isotonic (never falling) fit.
+
+    The fit of a bin is the greatest, over starts at or below it, of the least mean up to an end at or above it. Rows are
+    pre-aggregated, so at most ``bins`` + 1 of them meet.
+    """
+    at = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * bins).cast("int")
+    own = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("y"))
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut_lineage(own.select("bin", "n", "y", F.sum("n").over(w).alias("sn"), F.sum("y").over(w).alias("sy")))
+    first = sums.select(F.col("bin").alias("a"), (F.col("sn") - F.col("n")).alias("an"), (F.col("sy") - F.col("y")).alias("ay"))
+    spans = first.join(F.broadcast(sums.select("bin", "sn", "sy")), F.col("a") <= F.col("bin")).withColumn("mean", (F.col("sy") - F.col("ay")) / (F.col("sn") - F.col("an")))
+    least = spans.withColumn("m", F.min("mean").over(Window.partitionBy("a").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)))
+    fit = least.groupBy("bin").agg(F.max("m").alias("calibrated"))
+    return own.join(fit, "bin").select("bin", "n", (F.col("y") / F.col("n")).alias("rate"), "calibrated")
+
+
+def calibrated(rows: DataFrame, fit: DataFrame, score: str = "score", bins: int = BINS) -> DataFrame:
+    """``rows`` with ``calibrated``: the fit of the greatest fitted bin at or below the score's (of the least one for lower scores)."""
+    at = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * bins).cast("int")
+    table = F.sort_array(F.collect_list(F.struct("bin", "calibrated")))
+    held = rows.crossJoin(F.broadcast(fit.agg(table.alias("_t"))))  # one row of at most bins + 1 pairs
+    below = F.filter("_t", lambda x: x["bin"] <= at)
+    return held.withColumn("calibrated", F.coalesce(F.try_element_at(below, F.lit(-1))["calibrated"], F.get("_t", F.lit(0))["calibrated"])).drop("_t")
 
 
 def split(rows: DataFrame, group: str, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("valid", 0.1), ("test", 0.1)), salt: str = "") -> DataFrame:
@@ -65,6 +100,15 @@ def leakage(rows: DataFrame, fingerprint: Column) -> DataFrame:
     return rows.groupBy(fingerprint.alias("fingerprint")).agg(F.array_sort(F.collect_set("part")).alias("parts"), F.count("*").alias("n")).where(F.size("parts") > 1)
 
 
+def checked_split(rows: DataFrame, group: str, fingerprint: Column, tolerance: float = 0.0, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("valid", 0.1), ("test", 0.1))) -> DataFrame:
+    """:func:`split` whose rows with contents in several parts are at most ``tolerance`` of all; beyond it this raises."""
+    made = split(rows, group, shares)
+    n, bad = rows.count(), leakage(made, fingerprint).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if bad > tolerance * n:
+        raise ValueError(f"{bad} of {n} rows have contents in several parts, more than {tolerance:.4f} of them")
+    return made
+
+
 #: Disturbances of a text that leave its reading: name and column expression.
 MUTATIONS: dict[str, Callable[[Column], Column]] = {
     "zero_width": lambda x: F.regexp_replace(x, "([aeiou])", "$1​"),

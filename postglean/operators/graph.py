@@ -27,12 +27,17 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def ego(edge_rows: DataFrame, start: DataFrame, radius: int = 2) -> DataFrame:
-    """``start, id, distance``: nodes within ``radius`` undirected steps of each row of ``start`` (column ``id``)."""
+def ego(edge_rows: DataFrame, start: DataFrame, radius: int = 2, salt: int = 16) -> DataFrame:
+    """``start, id, distance``: nodes within ``radius`` undirected steps of each row of ``start`` (column ``id``).
+
+    Edges are pre-aggregated to one per pair and laid in ``salt`` parts of their end, so a hub is no single task.
+    """
     both = edge_rows.select("src", "dst").unionByName(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    found = start.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")).distinct()
+    parts = cut_lineage(both.withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(salt))))
+    found = start.where("id is not null").select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")).distinct()
     for d in range(1, radius + 1):
-        step = found.where(F.col("distance") == d - 1).join(both, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.lit(d).alias("distance"))
+        ends = found.where(F.col("distance") == d - 1).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
+        step = ends.join(parts.withColumnRenamed("src", "id").hint("merge"), ["id", "part"]).select("start", F.col("dst").alias("id"), F.lit(d).alias("distance"))
         found = found.unionByName(step).groupBy("start", "id").agg(F.min("distance").alias("distance"))
     return found
 
@@ -58,3 +63,20 @@ def communities(edge_rows: DataFrame, rounds: int = 5) -> DataFrame:
         votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.sum("w").alias("w"))
         labels = cut_lineage(votes.groupBy("src").agg(F.max_by("label", F.struct("w", F.lit(0))).alias("x"), F.max("w").alias("w")).join(votes.withColumnRenamed("w", "v"), "src").where("v = w").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("label")))
     return labels
+
+
+def infrastructure(edge_rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``domain, messages, hours, burstiness, neighbour_reputation`` of each link domain.
+
+    ``judged``: ``message`` (id of a message node) and ``bad`` (0 or 1). The reputation is the share of bad messages among
+    those that link to the domain, smoothed by one message of the overall share; burstiness is the share of its messages
+    in its busiest hour.
+    """
+    contains = edge_rows.where("type = 'CONTAINS'").select(F.col("src").alias("message"), F.col("dst").alias("url"), "at")
+    hosted = edge_rows.where("type = 'HOSTED_ON'").select(F.col("src").alias("url"), F.col("dst").alias("domain")).distinct()
+    rows = contains.join(hosted.hint("merge"), "url").groupBy("domain", "message").agg(F.min("at").alias("at"))
+    rows = rows.join(judged.select("message", F.col("bad").cast("double").alias("bad")).hint("merge"), "message", "left")
+    overall = judged.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0)).alias("all"))
+    hourly = rows.groupBy("domain", F.date_trunc("hour", "at").alias("hour")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"), F.count("bad").alias("known"))
+    out = hourly.groupBy("domain").agg(F.sum("n").alias("messages"), F.count("*").alias("hours"), F.max("n").alias("most"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
+    return out.crossJoin(F.broadcast(overall)).select("domain", "messages", "hours", (F.col("most") / F.col("messages")).alias("burstiness"), ((F.col("bad") + F.col("all")) / (F.col("known") + 1)).alias("neighbour_reputation"))  # one row

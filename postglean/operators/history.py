@@ -1,9 +1,8 @@
 """Behaviour of senders and pairs against their own past, as point-in-time window aggregates.
 
 Every feature of a message looks only at earlier rows of its sender (or sender and recipient), in the order of
-(received_at, uid). All windows share that partitioning and order, so they share one shuffle and sort. Samples reach
-back ``RESERVOIR`` rows; a running sum has no limit. A sender with a third of all rows is one window partition, which
-Spark sorts with spilling and reads row by row; running sums over equal times don't collect the group.
+(received_at, uid). Samples reach back ``RESERVOIR`` rows; a running sum has no limit. A sender with many rows is cut into
+blocks of time with carried sums and an overlap of ``RESERVOIR`` rows, so that it is no single task.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import robust
+from ..functions import blocks, robust
 from ..functions.once import once
 from ..functions.text import text_or_empty, token_set, STOPWORDS
 from .headers import clean_domain
@@ -42,35 +41,43 @@ def observations(messages: DataFrame, received_at: Column | str = "ingested_at")
     )
 
 
-def _past(*keys: str):
-    return Window.partitionBy(*keys).orderBy("at", "uid", "msg_id").rowsBetween(Window.unboundedPreceding, -1)
+ORDER = ["at", "uid", "msg_id"]
 
 
 def _recent(*keys: str):
-    return Window.partitionBy(*keys).orderBy("at", "uid", "msg_id").rowsBetween(-RESERVOIR, -1)
+    return Window.partitionBy(*keys, "_block").orderBy(*ORDER).rowsBetween(-RESERVOIR, -1)
 
 
-def _count(condition: Column | None, w) -> Column:
+def _if(condition: Column | None = None) -> Column:
     learn = F.col("learnable") if condition is None else F.col("learnable") & condition
-    return F.coalesce(F.sum(F.when(learn, 1).otherwise(0)).over(w), F.lit(0))
+    return F.when(learn, 1).otherwise(0)
 
 
-def sender_state(obs: DataFrame) -> DataFrame:
-    """``obs`` with the sender's past at each message: counts, medians and spreads of recent samples, usual hour and day."""
-    past, recent = _past("sender"), _recent("sender")
-    lag = F.max(F.when(F.col("learnable"), F.col("at"))).over(past)
+def sender_state(obs: DataFrame, size: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """``obs`` with the sender's past at each message: counts, medians and spreads of recent samples, usual hour and day.
+
+    A sender of more than ``size`` rows is cut into blocks of time (``functions.blocks``); the results are the same.
+    """
     hour = F.hour("at") + F.minute("at") / 60.0
-    angle = hour * math.pi / 12
+    angle = F.col("hour") * math.pi / 12
     learn = lambda c: F.when(F.col("learnable"), c)
-    rows = obs.withColumn("interval", (F.unix_micros("at") - F.unix_micros(lag)) / 1e6).withColumn("hour", hour).withColumn("day", F.weekday("at"))
+    rows, cut = blocks.blocked(obs.withColumn("hour", hour).withColumn("day", F.weekday("at")), ["sender"], "at", max(size, RESERVOIR))
+    rows = blocks.running(
+        rows, ["sender"], ORDER,
+        {"n": _if(), "n_reply": _if(F.col("reply_domain") != ""), "n_named": _if(F.col("display") != ""), "n_addressed": _if(F.col("recipient") != ""), "n_failed": _if(F.col("auth_failed")), "n_with_files": _if(F.col("n_files") > 0)},
+        {"_lag": learn(F.col("at"))}, cut,
+    )
+    for name, key in (("n_domain", "domain"), ("n_display", "display"), ("n_recipient", "recipient"), ("n_reply_domain", "reply_domain")):
+        rows = blocks.running(rows, ["sender", key], ORDER, {name: _if()}, {}, cut)
+    rows = rows.withColumn("interval", (F.unix_micros("at") - F.unix_micros("_lag")) / 1e6).drop("_lag")
+    rows = blocks.with_recent(rows, ["sender"], ORDER, RESERVOIR, cut)
+    recent = _recent("sender")
     rows = rows.withColumns({
-        "n": _count(None, past), "n_domain": _count(None, _past("sender", "domain")), "n_display": _count(None, _past("sender", "display")), "n_recipient": _count(None, _past("sender", "recipient")),
-        "n_reply_domain": _count(None, _past("sender", "reply_domain")), "n_reply": _count(F.col("reply_domain") != "", past), "n_named": _count(F.col("display") != "", past),
-        "n_addressed": _count(F.col("recipient") != "", past), "n_failed": _count(F.col("auth_failed"), past), "n_with_files": _count(F.col("n_files") > 0, past),
         "intervals": F.collect_list(learn(F.when(F.col("interval") >= 0, F.col("interval")))).over(recent), "lengths": F.collect_list(learn(F.col("length"))).over(recent),
         "url_counts": F.collect_list(learn(F.col("n_urls"))).over(recent), "days": F.collect_list(learn(F.col("day"))).over(recent),
         "usual_hour": robust.circular_hour(F.sum(learn(F.sin(angle))).over(recent), F.sum(learn(F.cos(angle))).over(recent)),
     })
+    rows = rows.where("_own").drop("_own", "_block")
     samples = (("interval", "intervals"), ("length", "lengths"), ("url", "url_counts"))
     rows = once(rows, **{f"{name}_median": robust.median(F.col(x)) for name, x in samples})
     rows = once(rows, **{f"{name}_mad": robust.mad(F.col(x), F.col(f"{name}_median")) for name, x in samples})
@@ -89,29 +96,32 @@ def first_seen(obs: DataFrame, keys: list[str], column: str) -> DataFrame:
     order = F.struct("at", "uid", "msg_id")
     items = obs.select("msg_id", "learnable", *keys, order.alias("o"), F.explode(column).alias("item")).where("item <> ''")
     first = items.where("learnable").groupBy(*keys, "item").agg(F.min("o").alias("first"))
-    return items.join(first, [*keys, "item"], "left").groupBy("msg_id").agg(F.count("*").alias("items"), F.coalesce(F.sum(F.when(F.col("first") < F.col("o"), 1).otherwise(0)), F.lit(0)).alias("known"))
+    return items.join(first.hint("merge"), [*keys, "item"], "left").groupBy("msg_id").agg(F.count("*").alias("items"), F.coalesce(F.sum(F.when(F.col("first") < F.col("o"), 1).otherwise(0)), F.lit(0)).alias("known"))
 
 
-def vocabulary_size(obs: DataFrame, keys: list[str]) -> DataFrame:
+def vocabulary_size(obs: DataFrame, keys: list[str], size: int = blocks.BLOCK_ROWS) -> DataFrame:
     """``msg_id, vocabulary``: how many distinct subject words the keys had used before each message."""
     order = F.struct("at", "uid", "msg_id")
     first = obs.where("learnable").select(*keys, order.alias("o"), F.explode("words").alias("item")).groupBy(*keys, "item").agg(F.min("o").alias("o"))
     new = first.groupBy(*keys, "o").agg(F.count("*").alias("new"))
-    w = Window.partitionBy(*keys).orderBy("at", "uid", "msg_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = obs.select("msg_id", "uid", "at", *keys, order.alias("o")).join(new, [*keys, "o"], "left")
-    return rows.select("msg_id", F.coalesce(F.sum("new").over(w), F.lit(0)).alias("vocabulary"))
+    rows, cut = blocks.blocked(obs.select("msg_id", "uid", "at", *keys, order.alias("o")), keys, "at", size)
+    rows = rows.join(new.hint("merge"), [*keys, "o"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    return blocks.running(rows, keys, ORDER, {"vocabulary": F.col("new")}, {}, cut).select("msg_id", "vocabulary")
 
 
-def relation_state(obs: DataFrame) -> DataFrame:
+def relation_state(obs: DataFrame, size: int = blocks.BLOCK_ROWS) -> DataFrame:
     """``msg_id`` with the pair's past: messages, interval to the last one, median and spread of earlier intervals."""
-    past, recent = _past("sender", "recipient"), _recent("sender", "recipient")
-    rows = obs.withColumn("pair_interval", (F.unix_micros("at") - F.unix_micros(F.max(F.when(F.col("learnable"), F.col("at"))).over(past))) / 1e6)
-    rows = rows.withColumn("pair_n", _count(None, past)).withColumn("pair_files", _count(F.col("n_files") > 0, past)).withColumn("_i", F.collect_list(F.when(F.col("learnable") & (F.col("pair_interval") >= 0), F.col("pair_interval"))).over(recent))
+    pair = ["sender", "recipient"]
+    rows, cut = blocks.blocked(obs.select("msg_id", "uid", "at", *pair, "n_files", "learnable"), pair, "at", max(size, RESERVOIR))
+    rows = blocks.running(rows, pair, ORDER, {"pair_n": _if(), "pair_files": _if(F.col("n_files") > 0)}, {"_lag": F.when(F.col("learnable"), F.col("at"))}, cut)
+    rows = rows.withColumn("pair_interval", (F.unix_micros("at") - F.unix_micros("_lag")) / 1e6)
+    rows = blocks.with_recent(rows, pair, ORDER, RESERVOIR, cut)
+    rows = rows.withColumn("_i", F.collect_list(F.when(F.col("learnable") & (F.col("pair_interval") >= 0), F.col("pair_interval"))).over(_recent(*pair))).where("_own")
     rows = once(once(rows, pair_median=robust.median(F.col("_i"))), pair_mad=robust.mad(F.col("_i"), F.col("pair_median"))).withColumn("pair_intervals", F.size("_i"))
     return rows.select("msg_id", "pair_n", "pair_files", "pair_interval", "pair_median", "pair_mad", "pair_intervals")
 
 
-def behaviour(obs: DataFrame) -> DataFrame:
+def behaviour(obs: DataFrame, size: int = blocks.BLOCK_ROWS) -> DataFrame:
     """``msg_id`` with the twelve behaviour features, each in [0, 1], against the past of sender and pair.
 
     A sender without past has newness 1 and no anomaly. Messages of one time are ordered by uid and msg_id; msg_id must
@@ -121,11 +131,11 @@ def behaviour(obs: DataFrame) -> DataFrame:
         r = first_seen(obs, keys, column)
         return r.select("msg_id", F.col("items").alias(f"{name}_items"), F.col("known").alias(f"{name}_known"))
 
-    rows = sender_state(obs).join(relation_state(obs), "msg_id")
+    rows = sender_state(obs, size).join(relation_state(obs, size).hint("merge"), "msg_id")
     pair = ["sender", "recipient"]
     for keys, column, name in ((["sender"], "url_domains", "u"), (["sender"], "file_types", "f"), (["sender"], "words", "w"), (pair, "url_domains", "pu"), (pair, "file_types", "pf"), (pair, "words", "pw")):
-        rows = rows.join(part(keys, column, name), "msg_id", "left")
-    rows = rows.join(vocabulary_size(obs, ["sender"]), "msg_id").join(vocabulary_size(obs, pair).withColumnRenamed("vocabulary", "pair_vocabulary"), "msg_id")
+        rows = rows.join(part(keys, column, name).hint("merge"), "msg_id", "left")
+    rows = rows.join(vocabulary_size(obs, ["sender"], size).hint("merge"), "msg_id").join(vocabulary_size(obs, pair, size).withColumnRenamed("vocabulary", "pair_vocabulary").hint("merge"), "msg_id")
     c = lambda n: F.coalesce(F.col(n), F.lit(0))
     n, known = F.col("n"), F.col("n") > 0
     gone = lambda name: F.when(c(f"{name}_items") > 0, 1 - c(f"{name}_known") / c(f"{name}_items")).otherwise(0.0)
@@ -170,15 +180,3 @@ def summary(features: DataFrame) -> DataFrame:
     top = F.greatest(*[F.col(f) for f in FEATURES])
     state = F.when(F.col("sender_newness_score") >= 1, "genuinely_unknown").when(top >= 0.75, "strongly_anomalous").when(top >= 0.4, "unusual").otherwise("normal")
     return features.withColumn("sender_anomaly_score", F.round(sum((F.col(f) for f in sender), F.lit(0.0)) / len(sender), 4)).withColumn("strongest", top).withColumn("state", state)
-
-
-def profiles(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per sender (or pair) over all learnable messages: totals, span, rate per day, shares, first and last time.
-
-    Partial aggregates run before the shuffle, so a hot sender arrives as one row per task.
-    """
-    days = F.greatest((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 86_400e6, F.lit(1 / 24))
-    return obs.where("learnable").groupBy(*keys).agg(
-        F.count("*").alias("messages"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), (F.count("*") / days).alias("per_day"), F.avg("length").alias("mean_length"),
-        F.avg("n_urls").alias("mean_urls"), F.avg((F.col("n_files") > 0).cast("double")).alias("file_share"), F.avg(F.col("auth_failed").cast("double")).alias("fail_share"),
-    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import robust, text as tx, urls as ul
+from ..functions import blocks, robust, text as tx, urls as ul
 from ..operators import attachments as att, campaigns, evaluation as ev, evidence as evd, fusion, graph, headers as hd, history, intent as it, markup, consistency as con
 from ..policy import Policy
 from ..sources import mail, store
@@ -35,9 +35,14 @@ def _mail(s, d):
     return e.groupBy("mailbox", "uid").agg(F.max("sender").alias("sender"), F.max("received_at").alias("at"), F.max(F.length(F.coalesce("subject", F.lit("")))).cast("double").alias("len"))
 
 
-def _w(*keys, recent=False):
-    w = Window.partitionBy(*keys).orderBy("at", "mailbox", "uid")
-    return w.rowsBetween(-history.RESERVOIR, -1) if recent else w.rowsBetween(Window.unboundedPreceding, -1)
+_ORDER = ["at", "mailbox", "uid"]
+
+
+def _recent(rows, x, cut):
+    """The up to ``RESERVOIR`` earlier values of ``x`` of the sender, as ``xs``."""
+    rows = blocks.with_recent(rows, ["sender"], _ORDER, history.RESERVOIR, cut)
+    w = Window.partitionBy("sender", "_block").orderBy(*_ORDER).rowsBetween(-history.RESERVOIR, -1)
+    return rows.withColumn("xs", F.collect_list(x).over(w)).where("_own")
 
 
 def txt02(s, d):
@@ -176,14 +181,16 @@ def evd06(s, d):
 
 
 def agg01(s, d):
-    m = _mail(s, d).withColumn("xs", F.collect_list("len").over(_w("sender", recent=True)))
-    m = m.withColumn("med", robust.median(F.col("xs")))
+    m, cut = blocks.blocked(_mail(s, d), ["sender"], "at")
+    m = _recent(m, "len", cut).withColumn("med", robust.median(F.col("xs")))
     m = m.withColumn("mad", robust.mad(F.col("xs"), F.col("med")))
     return m.select("mailbox", "uid", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round(robust.score_of_z(robust.robust_z(F.col("len"), F.col("med"), F.col("mad"))), 6).alias("z_score"))
 
 
 def agg05(s, d):
-    m = _mail(s, d).withColumn("n", F.count("*").over(_w("sender"))).withColumn("k", F.count("*").over(_w("sender", "mailbox")))
+    m, cut = blocks.blocked(_mail(s, d), ["sender"], "at")
+    m = blocks.running(m, ["sender"], _ORDER, {"n": F.lit(1)}, {}, cut)
+    m = blocks.running(m, ["sender", "mailbox"], _ORDER, {"k": F.lit(1)}, {}, cut)
     return m.select("mailbox", "uid", F.round(robust.novelty(F.col("k"), F.col("n")), 6).alias("novelty"), F.round(F.when(F.col("n") > 0, 1 / (1 + F.col("n") / 5.0)).otherwise(1.0), 6).alias("newness"))
 
 
@@ -200,7 +207,8 @@ def agg08(s, d):
 
 
 def agg13(s, d):
-    m = _mail(s, d).withColumn("gap", (F.unix_micros("at") - F.unix_micros(F.max("at").over(_w("sender", "mailbox")))) / 1e6)
+    m, cut = blocks.blocked(_mail(s, d), ["sender", "mailbox"], "at")
+    m = blocks.running(m, ["sender", "mailbox"], _ORDER, {}, {"last": F.col("at")}, cut).withColumn("gap", (F.unix_micros("at") - F.unix_micros("last")) / 1e6)
     g = m.groupBy("sender", "mailbox").agg(F.count("*").alias("n"), F.median("gap").alias("g"))
     return g.select("sender", "mailbox", "n", F.round("g", 3).alias("median_interval"), F.round(1 / (1 + F.col("n") / 3.0), 6).alias("newness"))
 
@@ -215,8 +223,9 @@ def agg15(s, d):
 
 
 def beh02(s, d):
-    m = _mail(s, d).withColumn("gap", (F.unix_micros("at") - F.unix_micros(F.max("at").over(_w("sender")))) / 1e6)
-    m = m.withColumn("xs", F.collect_list("gap").over(_w("sender", recent=True))).withColumn("med", robust.median(F.col("xs")))
+    m, cut = blocks.blocked(_mail(s, d), ["sender"], "at")
+    m = blocks.running(m, ["sender"], _ORDER, {}, {"last": F.col("at")}, cut).withColumn("gap", (F.unix_micros("at") - F.unix_micros("last")) / 1e6)
+    m = _recent(m, "gap", cut).withColumn("med", robust.median(F.col("xs")))
     m = m.withColumn("mad", robust.mad(F.col("xs"), F.col("med")))
     z = robust.robust_z(F.col("gap"), F.col("med"), F.col("mad"))
     return m.select("mailbox", "uid", F.round(F.when(F.size("xs") > 0, F.least(F.greatest(-z, F.lit(0.0)) / 3.5, F.lit(1.0))).otherwise(0.0), 5).alias("burst"))

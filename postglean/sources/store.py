@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+import hmac
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KEYS = ["mailbox", "uid"]
 
@@ -58,3 +61,97 @@ def best_known(profiles: DataFrame, key: str = "display", total: str = "messages
 
 def verdict_counts(verdicts: DataFrame, by: list[str | Column]) -> DataFrame:
     return verdicts.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def emails_table(messages: DataFrame) -> DataFrame:
+    """Rows of the mail store of parsed messages; the time of arrival is that of the ingest."""
+    return messages.select("mailbox", "uid", "subject", F.col("from_addr").alias("sender"), F.col("ingested_at").alias("received_at"), F.to_json("headers").alias("raw_headers_json"), F.col("ingested_at").alias("saved_at"))
+
+
+def verdicts_table(scored: DataFrame, at: Column) -> DataFrame:
+    """Rows of the verdict store of scored messages: reasons and component scores as JSON."""
+    return scored.select("mailbox", "uid", "score", F.col("level").alias("verdict"), F.to_json("reasons").alias("reasons_json"), F.to_json("component_scores").alias("component_scores_json"), at.alias("created_at"))
+
+
+def audit_rows(scored: DataFrame, at: Column) -> DataFrame:
+    """One row per action taken: what was done, why, when; messages that are let through leave none."""
+    why = F.concat_ws("; ", F.concat(F.lit("level "), F.col("level")), F.array_join("reasons", "; "))
+    return scored.where("action.action <> 'none'").select("mailbox", "uid", F.col("action.action").alias("action_taken"), why.alias("reason"), at.alias("logged_at"))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds rows to a table that only grows (audit, tracking events, feedback)."""
+    rows.write.mode("append").parquet(path)
+
+
+#: Tables of the store with their columns.
+SCHEMAS = {
+    "emails": "mailbox string, uid bigint, subject string, sender string, received_at timestamp, raw_headers_json string, saved_at timestamp",
+    "verdicts": "mailbox string, uid bigint, score double, verdict string, reasons_json string, component_scores_json string, created_at timestamp",
+    "audit_log": "mailbox string, uid bigint, action_taken string, reason string, logged_at timestamp",
+    "mailbox_state": "mailbox string, last_uid bigint",
+    "test_events": "mailbox string, uid bigint, event string, at timestamp",
+    "test_feedback": "mailbox string, uid bigint, feedback string, at timestamp",
+    "users": "email string, name string, role string, password_hash string, created_at timestamp",
+    "inbox": "id string, sender string, recipient string, subject string, body string, read boolean, at timestamp",
+}
+
+
+def create_tables(spark: SparkSession, path: str) -> list[str]:
+    """Creates the tables that are missing under ``path`` and gives their names; existing ones stay as they are."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = []
+    for name, schema in SCHEMAS.items():
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")):
+            spark.createDataFrame([], schema).write.parquet(f"{path}/{name}")
+            made.append(name)
+    return made
+
+
+def migrated(rows: DataFrame, name: str, emails: DataFrame | None = None) -> DataFrame:
+    """``rows`` of an older layout in the columns of table ``name``: missing ones are null, a missing mailbox comes from ``emails``."""
+    if "mailbox" in SCHEMAS[name] and "mailbox" not in rows.columns and emails is not None and "uid" in rows.columns:
+        rows = with_mailbox(rows, emails)
+    wanted = [c.split() for c in SCHEMAS[name].split(", ")]
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted])
+
+
+def users(table: DataFrame) -> DataFrame:
+    """All users without their passwords, by address."""
+    return table.select(F.lower("email").alias("email"), *[c for c in ("name", "role", "created_at") if c in table.columns])
+
+
+def inbox(messages: DataFrame, recipient: str, n: int) -> DataFrame:
+    """The n latest messages to a recipient."""
+    return messages.where(F.lower("recipient") == recipient.lower()).orderBy(F.desc("at"), F.desc("id")).limit(n)
+
+
+def mark_read(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """``messages`` with ``read`` set for the given ``id`` rows."""
+    hit = ids.select("id", F.lit(True).alias("_hit")).distinct()
+    return messages.join(hit, "id", "left").withColumn("read", F.coalesce("_hit", "read")).drop("_hit")
+
+
+def baseline(emails: DataFrame, mailbox: str) -> DataFrame:
+    """``last_uid`` of one mailbox, 0 where nothing was read yet."""
+    return emails.agg(F.coalesce(F.max(F.when(F.col("mailbox") == mailbox, F.col("uid"))), F.lit(0)).alias("last_uid"))
+
+
+def latest_match(emails: DataFrame, text: str, after_uid: int = 0) -> DataFrame:
+    """Per mailbox the email with the greatest uid above ``after_uid`` whose subject contains ``text``."""
+    hit = emails.where(F.contains("subject", F.lit(text)) & (F.col("uid") > after_uid))
+    return hit.groupBy("mailbox").agg(F.max("uid").alias("uid"), F.max_by("subject", F.struct("uid", "subject")).alias("subject"))
+
+
+def password_hash(password: str, salt: bytes, rounds: int = 120_000) -> str:
+    """PBKDF2 with SHA-256 as ``salt$hash`` in hex."""
+    return f"{salt.hex()}${hashlib.pbkdf2_hmac('sha256', password.encode(), salt, rounds).hex()}"
+
+
+def password_fits(password: str, stored: str, rounds: int = 120_000) -> bool:
+    """Compares in constant time; a malformed stored value fits nothing."""
+    salt, _, _ = stored.partition("$")
+    try:
+        return hmac.compare_digest(password_hash(password, bytes.fromhex(salt), rounds), stored)
+    except ValueError:
+        return False

@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import profiles
 from ..plans import pipeline
 from ..policy import Policy
+from ..sources import store
 
 
 def message_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 10) -> DataFrame:
@@ -15,23 +17,39 @@ def message_stream(spark: SparkSession, path: str, like: DataFrame, files_per_ba
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def score_stream(stream: DataFrame, out: str, checkpoint: str, policy: Policy | None = None) -> DataStreamWriter:
-    """Verdicts of every micro-batch, written under ``out/batch=<id>``: a repeated batch overwrites its own folder.
+def score_stream(stream: DataFrame, out: str, checkpoint: str, policy: Policy | None = None, registry: pipeline.Registry | None = None, learn: bool = False) -> DataStreamWriter:
+    """Each micro-batch scored, acted on and learnt from: verdicts, emails, audit rows and observations under ``out``.
 
-    Rows of one (mailbox, uid) in a batch are one message. History is left to the batch plan.
+    Every table lies in ``<table>/batch=<id>``: a repeated batch overwrites its own folders, so nothing counts twice. Rows
+    of one (mailbox, uid) in a batch are one message. With ``learn`` the observations of allowed messages (by the policy)
+    are kept, of which :func:`learnt` makes the profiles. A backlog stays on the source; a failed batch is run again by
+    the restarted query. One query serves all mailboxes.
     """
-    registry = pipeline.default_registry(with_history=False)
+    policy = policy or Policy()
 
     def step(batch: DataFrame, number: int) -> None:
+        own = registry or pipeline.default_registry(with_history=False)
         rows = batch.dropDuplicates(["mailbox", "uid"])
-        pipeline.score(rows, policy, registry).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        put(pipeline.score(rows, policy, own), "verdicts")
+        scored = batch.sparkSession.read.parquet(f"{out}/verdicts/batch={number}")
+        put(store.emails_table(rows), "emails")
+        put(store.audit_rows(scored, F.current_timestamp()), "audit_log")
+        if learn:
+            put(pipeline.learn(None, rows, scored, policy, own), "observations")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def learnt(spark: SparkSession, out: str, keys: list[str] | None = None) -> profiles.Profiles:
+    """Profiles of all observations of a stream, each (mailbox, uid) once."""
+    obs = spark.read.parquet(f"{out}/observations").drop("batch").dropDuplicates(["mailbox", "uid"])
+    return profiles.fold(None, obs, keys or profiles.SENDER)
+
+
 def written(spark: SparkSession, out: str, keys: tuple[str, ...] = ("mailbox", "uid")) -> DataFrame:
     """The verdicts of all batches, of each key the one of the latest batch."""
-    rows = spark.read.parquet(out)
+    rows = spark.read.parquet(f"{out}/verdicts")
     rest = [c for c in rows.columns if c not in keys and c != "batch"]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("r")).select(*keys, "r.*")
 
@@ -53,25 +71,33 @@ def sessions(events: DataFrame, time: str, gap: str, *by: str, late: str = "1 da
 
 
 class RunningProfile(StatefulProcessor):
-    """Per sender the number of messages, the last time and the mean interval, kept without end."""
+    """Per key the number of messages, of those with files, the last time and the mean interval, kept without end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("profile", "n bigint, last double, intervals bigint, total double")
+        self.state = handle.getValueState("profile", "n bigint, files bigint, last double, intervals bigint, total double")
 
     def handleInputRows(self, key, rows, timers):
-        n, last, k, total = self.state.get() if self.state.exists() else (0, None, 0, 0.0)
+        n, files, last, k, total = self.state.get() if self.state.exists() else (0, 0, None, 0, 0.0)
+        seen = []  # two numbers a message: the chunks of a batch come in any order
         for part in rows:
-            for at in sorted(part["at"]):
-                if last is not None and at >= last:
-                    k, total = k + 1, total + at - last
-                n, last = n + 1, at
-        self.state.update((n, last, k, total))
-        yield pd.DataFrame({"sender": [key[0]], "messages": [n], "last_seen": [last], "mean_interval": [total / k if k else None]})
+            seen += zip(part["at"], part["n_files"])
+        for at, own in sorted(seen):
+            if last is not None and at >= last:
+                k, total = k + 1, total + at - last
+            n, files, last = n + 1, files + (own > 0), at if last is None else max(last, at)
+        self.state.update((n, files, last, k, total))
+        yield pd.DataFrame({**{f"key_{i}": [v] for i, v in enumerate(key)}, "messages": [n], "file_messages": [files], "last_seen": [last], "mean_interval": [total / k if k else None]})
 
     def close(self) -> None:
         pass
 
 
-def running_profiles(observations: DataFrame) -> DataFrame:
-    """``sender, messages, last_seen, mean_interval`` after each batch, from ``sender`` and ``at`` (seconds)."""
-    return observations.groupBy("sender").transformWithStateInPandas(RunningProfile(), "sender string, messages bigint, last_seen double, mean_interval double", "Update", "None")
+def running_profiles(observations: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The keys (``sender``, or sender and ``recipient``) with ``messages, file_messages, last_seen, mean_interval`` after each batch.
+
+    ``observations`` has the keys, ``at`` (seconds) and ``n_files``. Rows of one batch are taken in order of time.
+    """
+    keys = keys or ["sender"]
+    schema = ", ".join(f"key_{i} string" for i in range(len(keys))) + ", messages bigint, file_messages bigint, last_seen double, mean_interval double"
+    out = observations.groupBy(*keys).transformWithStateInPandas(RunningProfile(), schema, "Update", "None")
+    return out.withColumnsRenamed({f"key_{i}": k for i, k in enumerate(keys)})

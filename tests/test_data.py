@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from postglean.operators import campaigns, evaluation as ev, event_features as ef, graph, history, timestamps as ts
+from postglean.operators import campaigns, evaluation as ev, event_features as ef, graph, history, profiles, timestamps as ts
 from postglean.plans import pipeline
 from postglean.sources import store
 from postglean.streaming import ingest
@@ -93,7 +93,7 @@ def test_behaviour(spark):
     assert got[8].sender_newness_score == pytest.approx(1 / (1 + 7 / 5)) and got[8].sender_frequency_anomaly == 0 and got[8].sender_time_anomaly < 0.2
     assert got[9].recipient_relationship_newness == 1 and got[10].sender_time_anomaly > 0.5 and got[11].display_name_history_anomaly == 1
     assert got[12].state == "genuinely_unknown" and got[12].sender_newness_score == 1
-    assert {r.sender: r.messages for r in history.profiles(obs, ["sender"]).collect()} == {"a@x.test": 11, "stranger@z.test": 1}
+    assert {r.sender: r.messages for r in profiles.fold(None, obs).totals.collect()} == {"a@x.test": 11, "stranger@z.test": 1}
 
 
 def test_graph_and_campaigns(spark):
@@ -118,7 +118,7 @@ def test_store(spark):
 def test_metrics(spark):
     rows = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 0), (0.1, 0), (None, 1)], "score double, label int")
     points = ev.curve(rows)
-    assert ev.rates(points).where("threshold = 0.8").first().precision == 1.0 and ev.area(points).first().roc_auc == 1.0 and ev.cheapest(points).first().cost == 0
+    assert ev.rates(points).where("threshold = 0.8").first().precision == 1.0 and ev.area(points).first().roc_auc == 1.0 and ev.cheapest(points, {"block": 0, "review": 0}).first().cost == 0
     parts = ev.split(spark.range(200).withColumn("g", F.col("id") % 20), "g")
     assert parts.groupBy("g").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
     assert ev.disturbed(spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string"), "t").count() == 2 * len(ev.MUTATIONS)
@@ -129,11 +129,12 @@ def test_stream_equals_batch(spark, tmp_path):
     m.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = ingest.message_stream(spark, str(tmp_path / "in"), m, 1)
     for _ in range(2):  # started again, it reads nothing twice
-        q = ingest.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = ingest.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), learn=True).trigger(availableNow=True).start()
         q.awaitTermination()
     got = {(r.uid, r.level, r.score) for r in ingest.written(spark, str(tmp_path / "out")).collect()}
     want = {(r.uid, r.level, r.score) for r in pipeline.score(m, registry=pipeline.default_registry(False)).collect()}
     assert got == want and len(got) == 6
+    assert spark.read.parquet(str(tmp_path / "out" / "emails")).count() == 6 and ingest.learnt(spark, str(tmp_path / "out")).totals.first().messages == 6
 
 
 def test_windows(spark):
