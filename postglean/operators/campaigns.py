@@ -31,7 +31,11 @@ def signals(messages: DataFrame) -> DataFrame:
 
 def _least(items, seeds: int):
     """Per seed the least MD5 of the items with it: equal for two sets with the probability of their similarity."""
-    return [F.array_min(F.transform(items, lambda x, k=k: F.md5(F.concat(F.lit(f"{k}:"), x)))) for k in range(seeds)]
+
+    def one(seed: int):
+        return F.array_min(F.transform(items, lambda x: F.md5(F.concat(F.lit(f"{seed}:"), x))))
+
+    return [one(k) for k in range(seeds)]
 
 
 def text_signals(messages: DataFrame, bands: int = 4, rows: int = 2) -> DataFrame:

@@ -18,8 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Levels of all messages per mailbox, from the full scoring plan without history."""
-    v = pipeline.score(table(spark, folder, "messages"), registry=pipeline.default_registry(with_history=False))
+    """Levels of all messages per mailbox, from the full scoring plan, history included."""
+    v = pipeline.score(table(spark, folder, "messages"))
     return v.groupBy("mailbox", "level").agg(F.count("*").alias("messages"), F.round(F.avg("calibrated_probability"), 6).alias("mean_probability"))
 
 
@@ -45,17 +45,23 @@ def _recent(rows, x, cut):
     return rows.withColumn("xs", F.collect_list(x).over(w)).where("_own")
 
 
+def _texts(s, d, *names):
+    """``msg_id, field, text`` of whole texts; null reads as ''."""
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(n, F.lit("")).alias("text")) for n in names or ("subject", "body_plain", "visible_text")])
+    return _m(s, d).select("msg_id", F.explode(fields).alias("x")).select("msg_id", "x.*")
+
+
 def txt02(s, d):
-    return _m(s, d).select("msg_id", tx.fold_confusables(F.coalesce("subject", F.lit(""))).alias("folded"))
+    return _texts(s, d).select("msg_id", "field", tx.fold_confusables(F.col("text")).alias("folded"))
 
 
 def txt07(s, d):
     t = table(s, d, "documents").select(F.lower("lang").alias("lang"), F.explode(tx.tokens(F.col("text"))).alias("word"))
-    return t.groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 20")
+    return t.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
 def txt08(s, d):
-    return _m(s, d).select("msg_id", F.size(tx.token_set(F.col("subject"))).cast("bigint").alias("words"))
+    return _texts(s, d).select("msg_id", "field", F.size(tx.token_set(F.col("text"))).cast("bigint").alias("words"))
 
 
 def txt10(s, d):
@@ -76,7 +82,7 @@ def url05(s, d):
 
 
 def url07(s, d):
-    return _m(s, d).select("msg_id", ul.domain_in_text(F.col("subject")).alias("domain"))
+    return _texts(s, d).select("msg_id", "field", ul.domain_in_text(F.col("text")).alias("domain"))
 
 
 def url10(s, d):
@@ -90,7 +96,7 @@ def url11(s, d):
 
 
 def htm09(s, d):
-    return _m(s, d).select("msg_id", F.round(tx.entropy(F.col("subject")), 6).alias("entropy"))
+    return _texts(s, d).select("msg_id", "field", F.round(tx.entropy(F.col("text")), 6).alias("entropy"))
 
 
 def hdr01(s, d):
@@ -98,17 +104,6 @@ def hdr01(s, d):
     return m.select("msg_id", "a.*", "h.*", hd.anomaly_count(F.col("a"), F.col("h")).alias("fired"))
 
 
-def con02(s, d):
-    dom = _m(s, d).select(F.explode("urls").alias("u")).select(F.lower("u.domain").alias("domain")).where("domain <> ''").distinct()
-    names = ["velmora.example", "orvane.example", "halden.example"]
-    return dom.select("domain", F.explode(F.array(*[F.lit(n) for n in names])).alias("of")).select("domain", "of", F.levenshtein("domain", "of", 4).cast("bigint").alias("distance")).where("distance between 0 and 4")
-
-
-def con08(s, d):
-    f = con.identity_features(Policy(), F.col("from_display"), F.col("subject"), F.col("from_addr"), F.col("reply_to"), F.lower(hd.clean_domain(F.col("from_addr"))))
-    return _m(s, d).select("msg_id", f["sender_identity_mismatch"].alias("sender_identity_mismatch"), f["replyto_identity_mismatch"].alias("replyto_identity_mismatch"))
-
-
 def con09(s, d):
     f = con.link_features(F.col("urls"), F.col("extracted_image_text"), F.col("extracted_qr_urls"), F.col("visible_text"))
     return _m(s, d).select("msg_id", *[F.round(v, 6).alias(k) for k, v in f.items()])
@@ -119,11 +114,6 @@ def con10(s, d):
     return _m(s, d).select("msg_id", F.round(tx.jaccard(a, b), 6).alias("jaccard"), F.round(tx.containment(a, b), 6).alias("containment"))
 
 
-def con11(s, d):
-    f = con.semantic_features(tx.token_set(F.col("subject")), tx.token_set(F.col("visible_text")), F.col("urls"), F.col("attachments"))
-    return _m(s, d).select("msg_id", *[F.round(v, 6).alias(k) for k, v in f.items()])
-
-
 def int01(s, d):
     t = it.tactics(F.col("body_plain"), F.size("urls") > 0, F.size("attachments") > 0, F.size("extracted_qr_urls") > 0)
     return _m(s, d).select("msg_id", *[v.alias(k) for k, v in t.items()])
@@ -272,46 +262,28 @@ def grf01(s, d):
 
 
 def jon10(s, d):
-    e = graph.edges(_m(s, d)).where("type = 'SENT'")
-    start = _m(s, d).where("msg_id = 1").select(F.lower("from_addr").alias("id"))
-    return graph.ego(e, start, 2).select("start", "id", F.col("distance").cast("bigint").alias("distance"))
-
-
-def spc01(s, d):
-    r = campaigns.signals(_m(s, d))
-    return campaigns.membership(r, campaigns.campaign_table(r))
-
-
-def spc02(s, d):
-    return campaigns.campaign_table(campaigns.signals(_m(s, d))).where("channel = 'domain'")
+    """Around the senders of every fiftieth message, over all edges."""
+    start = _m(s, d).where("msg_id % 50 = 0").select(F.lower("from_addr").alias("id"))
+    return graph.ego(graph.edges(_m(s, d)), start, 2).select("start", "id", F.col("distance").cast("bigint").alias("distance"))
 
 
 def spc01v(s, d):
-    return campaigns.close_vectors(table(s, d, "embeddings"), 0.5).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
+    return campaigns.close_vectors(table(s, d, "embeddings"), 0.25).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 
 def spc03(s, d):
-    return graph.temporal(graph.edges(_m(s, d)).where("type = 'SENT'"))
+    return graph.temporal(graph.edges(_m(s, d)))
 
 
 def spc04(s, d):
     return graph.shared_hosts(graph.edges(_m(s, d)))
 
 
-def spc06(s, d):
-    r = ev.split(table(s, d, "documents"), "doc_id")
-    return ev.leakage(r, F.sha1("text")).select("fingerprint", F.concat_ws(",", "parts").alias("parts"), "n")
-
-
 def _labelled(s, d):
     v = table(s, d, "verdicts").where("verdict is not null")
     return v.select("score", F.upper(F.trim("verdict")).isin("BLOCK", "REVIEW").cast("int").alias("label"))
 
 
-def spc07(s, d):
-    return ev.cheapest(ev.curve(_labelled(s, d))).select("threshold", "tp", "fp", "fn", "tn", "cost")
-
-
 def spc08(s, d):
     return ev.rates(ev.curve(_labelled(s, d))).select("threshold", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "fpr")])
 
@@ -354,21 +326,21 @@ def str06s(s, d):
 
 
 def exp01(s, d):
-    return pipeline.score(_m(s, d), registry=pipeline.default_registry(with_history=False)).select("msg_id", "level", "score", "explanation")
+    return pipeline.score(_m(s, d)).select("msg_id", "level", "score", "explanation")
 
 
 def queries() -> dict[str, Query]:
     return {
         "txt02_confusable_fold": txt02, "txt07_token_bag": txt07, "txt08_token_set": txt08, "txt10_phrase_ladder": txt10, "txt12_tactics": txt12,
         "url01_authority": url01, "url05_urls_in_text": url05, "url07_domain_in_text": url07, "url10_suspicion": url10, "url11_lexical": url11, "htm09_text_entropy": htm09,
-        "hdr01_header_rules": hdr01, "con02_edit_distance": con02, "con08_identity": con08, "con09_links": con09, "con10_jaccard": con10, "con11_semantic": con11,
+        "hdr01_header_rules": hdr01, "con09_links": con09, "con10_jaccard": con10,
         "int01_tactics": int01, "int02_derived": int02, "fus04_decide": fus04, "fus06_uncertainty": fus06,
         "evd03_evidence_id": evd03, "evd04_rank": evd04, "evd05_dedupe": evd05, "evd06_by_category": evd06, "top01_evidence_topk": top01,
         "agg01_running_median_mad_z": agg01, "agg05_novelty": agg05, "agg06_circular_hour": agg06, "agg08_usual_weekday": agg08, "agg13_relationship": agg13, "agg14_per_day": agg14, "agg15_verdict_counts": agg15,
         "beh02_burst": beh02, "beh14_vector": beh14, "jon01_recent_events": jon01, "jon05_display_fallback": jon05, "jon07_backfill": jon07, "jon10_ego_radius2": jon10,
         "snk01_upsert": snk01, "snk04_offsets": snk04, "snk12_actions": snk12, "set01_ordered_distinct": set01, "grf01_graph": grf01,
-        "spc01_campaign_members": spc01, "spc01_close_vectors": spc01v, "spc02_campaigns": spc02, "spc03_temporal_edges": spc03, "spc04_shared_hosts": spc04, "spc06_leakage": spc06,
-        "spc07_cheapest_threshold": spc07, "spc08_metrics": spc08, "spc09_mutations": spc09, "htm01_structure": htm01, "htm07_risk": htm07, "att03_filename_risk": att03,
+        "spc01_close_vectors": spc01v, "spc03_temporal_edges": spc03, "spc04_shared_hosts": spc04,
+        "spc08_metrics": spc08, "spc09_mutations": spc09, "htm01_structure": htm01, "htm07_risk": htm07, "att03_filename_risk": att03,
         "att11_inspect": att11, "src01_parse_mail": src01, "str06_tumbling": str06, "str06_sessions": str06s, "exp01_explained_verdicts": exp01, "fus01_flagship": flagship,
     }
 

@@ -47,10 +47,9 @@ d AS (SELECT *, min(seq) OVER (PARTITION BY mailbox, uid, evidence_id) AS first,
 _BACK, _REPLY, _FROM = _RAW.format("return_path"), _RAW.format("reply_to"), _RAW.format("from_addr")
 _AUTH = "lower(coalesce(element_at(headers, 'Authentication-Results')[1], ''))"
 _Z = "CASE WHEN abs(coalesce(mad, 0)) <= 1e-9 THEN greatest(abs(med) * 0.1, 1e-6) ELSE mad END"
-_SENT = """WITH e AS (SELECT lower(coalesce(from_addr, '')) AS src, lower(unnest(list_distinct(list_concat(coalesce(recipients, []), coalesce(cc, []))))) AS dst, 'SENT' AS type, ingested_at AS t_at FROM messages) """
-_EDGES = """WITH raw AS (SELECT lower(coalesce(from_addr, '')) AS src, lower(unnest(list_distinct(list_concat(coalesce(recipients, []), coalesce(cc, []))))) AS dst, 'SENT' AS type FROM messages
-UNION ALL SELECT 'message:' || msg_id, 'url:' || u.normalized, 'CONTAINS' FROM (SELECT msg_id, unnest(urls) AS u FROM messages)
-UNION ALL SELECT 'url:' || u.normalized, 'domain:' || lower(u.domain), 'HOSTED_ON' FROM (SELECT unnest(urls) AS u FROM messages) WHERE u.domain <> ''), e AS (SELECT * FROM raw WHERE src <> '' AND dst <> '') """
+_EDGES = """WITH raw AS (SELECT lower(coalesce(from_addr, '')) AS src, lower(unnest(list_distinct(list_concat(coalesce(recipients, []), coalesce(cc, []))))) AS dst, 'SENT' AS type, ingested_at AS t_at FROM messages
+UNION ALL SELECT 'message:' || msg_id, 'url:' || u.normalized, 'CONTAINS', ingested_at FROM (SELECT msg_id, ingested_at, unnest(urls) AS u FROM messages)
+UNION ALL SELECT 'url:' || u.normalized, 'domain:' || lower(u.domain), 'HOSTED_ON', ingested_at FROM (SELECT ingested_at, unnest(urls) AS u FROM messages) WHERE u.domain <> ''), e AS (SELECT * FROM raw WHERE src <> '' AND dst <> '') """
 _LAB = """WITH l AS (SELECT floor(least(greatest(score, 0), 1) * 1000)::INT AS bin, (upper(trim(verdict)) IN ('BLOCK', 'REVIEW'))::INT AS y FROM verdicts WHERE verdict IS NOT NULL AND score IS NOT NULL),
 c AS (SELECT t.k AS bin, count(*) FILTER (WHERE y = 1 AND l.bin >= t.k) AS tp, count(*) FILTER (WHERE y = 0 AND l.bin >= t.k) AS fp, count(*) FILTER (WHERE y = 1 AND l.bin < t.k) AS fn, count(*) FILTER (WHERE y = 0 AND l.bin < t.k) AS tn FROM range(1001) t(k) CROSS JOIN l GROUP BY 1) """
 _JAC = f"WITH t AS (SELECT msg_id, list_distinct({_tokens('subject', LINK_STOPWORDS)}) AS a, list_distinct({_tokens('visible_text', LINK_STOPWORDS)}) AS b FROM messages), n AS (SELECT msg_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS k FROM t) "
@@ -58,27 +57,28 @@ _TAC = f"""CASE WHEN {_any(_B, ('urgent', 'immediately'))} THEN 0.9 ELSE 0 END A
  CASE WHEN {_any(_B, ('verify', 'login'))} THEN 0.95 ELSE 0 END AS credential_request, CASE WHEN {_any(_B, ('wire', 'invoice'))} THEN 0.85 ELSE 0 END AS financial"""
 _X = "greatest(0, least(1, {0}))"
 
+_TEXTS = "(SELECT msg_id, unnest(['subject', 'body_plain', 'visible_text']) AS field, unnest([coalesce(subject, ''), coalesce(body_plain, ''), coalesce(visible_text, '')]) AS s FROM messages)"
+
 SQL = {
-    "txt02_confusable_fold": f"SELECT msg_id, CASE WHEN regexp_matches(s, '[^\\x00-\\x7F]') THEN {_FOLD} ELSE s END AS folded FROM (SELECT msg_id, coalesce(subject, '') AS s FROM messages)",
-    "txt07_token_bag": f"SELECT lang, word, count(*) AS n FROM (SELECT lower(lang) AS lang, unnest({_tokens('text', STOPWORDS)}) AS word FROM documents) GROUP BY 1, 2 HAVING count(*) >= 20",
-    "txt08_token_set": f"SELECT msg_id, len(list_distinct({_tokens('subject', LINK_STOPWORDS)})) AS words FROM messages",
+    "txt02_confusable_fold": f"SELECT msg_id, field, CASE WHEN regexp_matches(s, '[^\\x00-\\x7F]') THEN {_FOLD} ELSE s END AS folded FROM {_TEXTS}",
+    "txt07_token_bag": f"SELECT lang, word, count(*) AS n FROM (SELECT lower(lang) AS lang, unnest({_tokens('text', STOPWORDS)}) AS word FROM documents) GROUP BY 1, 2",
+    "txt08_token_set": f"SELECT msg_id, field, len(list_distinct({_tokens('s', LINK_STOPWORDS)})) AS words FROM {_TEXTS}",
     "txt10_phrase_ladder": f"SELECT msg_id, CASE WHEN contains({_B}, 'update your account') THEN 0.85 WHEN contains({_B}, 'urgent wire') THEN 0.9 WHEN contains({_B}, 'verify your identity') THEN 0.88 ELSE 0.1 END::DOUBLE AS probability FROM messages",
     "txt12_tactics": f"SELECT msg_id, urgency::DOUBLE AS urgency, authority::DOUBLE AS authority, credential_request::DOUBLE AS credential_request, financial::DOUBLE AS financial FROM (SELECT msg_id, {_TAC} FROM messages)",
     "url01_authority": f"SELECT msg_id, pos, trim(string_split(string_split(string_split(regexp_replace(u.raw_url, '^.*?://', ''), '/')[1], '?')[1], '@')[-1]) AS authority, CASE WHEN contains(u.raw_url, '://') THEN lower(string_split(u.raw_url, '://')[1]) ELSE '' END AS scheme, {_HOST.format('u.raw_url')} AS host FROM ({_U})",
     "url05_urls_in_text": r"""SELECT msg_id, url, count(*) AS n FROM (SELECT msg_id, regexp_replace(unnest(regexp_extract_all(coalesce(body_plain, ''), '(?i)h?t?t?ps?://[^\s<>"'')]+')), '[.,;)]+$', '') AS url FROM messages) GROUP BY 1, 2""",
-    "url07_domain_in_text": f"SELECT msg_id, lower(regexp_extract(coalesce(subject, ''), '{_DOMAIN}', 1)) AS domain FROM messages",
+    "url07_domain_in_text": f"SELECT msg_id, field, lower(regexp_extract(s, '{_DOMAIN}', 1)) AS domain FROM {_TEXTS}",
     "url10_suspicion": f"""SELECT m.msg_id, coalesce(s, 0)::DOUBLE AS suspicion FROM messages m LEFT JOIN (SELECT msg_id, max(greatest(CASE WHEN u.is_punycode THEN 0.8 ELSE 0 END, CASE WHEN coalesce(u.domain, '') <> '' AND u.display_text_mismatch THEN 0.7 ELSE 0 END,
  CASE WHEN contains(coalesce(u.raw_url, ''), '@') THEN 0.7 ELSE 0 END, CASE WHEN contains(lower(u.domain), '.') AND string_split(lower(u.domain), '.')[-1] IN {_list(RISKY_TLDS)} THEN 0.5 ELSE 0 END,
  CASE WHEN coalesce(u.domain, '') <> '' AND regexp_matches(string_split(lower(u.domain), '.')[1], '[0-9-]') THEN 0.4 ELSE 0 END)) AS s FROM ({_U}) GROUP BY 1) USING (msg_id)""",
     "url11_lexical": f"""WITH x AS (SELECT msg_id, pos, u.raw_url AS r, {_HOST.format('u.raw_url')} AS h FROM ({_U}))
 SELECT msg_id, pos, length(r) AS url_length, round(CASE WHEN length(r) > 0 THEN length(regexp_replace(r, '[^0-9]', '', 'g')) / length(r) ELSE 0 END, 6) AS digit_ratio, greatest(len(string_split(h, '.')) - 2, 0)::BIGINT AS subdomain_depth,
  round(coalesce((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / length(h) AS p FROM (SELECT unnest(string_split(h, '')) AS c) GROUP BY c)), 0), 6) AS host_entropy, string_split(h, '.')[-1] IN {_list(RISKY_TLDS)} AS risky_tld, contains(r, '@') AS has_at FROM x""",
-    "htm09_text_entropy": "WITH c AS (SELECT msg_id, unnest(string_split(subject, '')) AS ch FROM messages WHERE coalesce(subject, '') <> ''), e AS (SELECT msg_id, entropy(ch) AS e FROM c GROUP BY 1) SELECT m.msg_id, round(coalesce(e, 0), 6) AS entropy FROM messages m LEFT JOIN e USING (msg_id)",
+    "htm09_text_entropy": f"WITH t AS {_TEXTS}, c AS (SELECT msg_id, field, unnest(string_split(s, '')) AS ch FROM t WHERE s <> ''), e AS (SELECT msg_id, field, entropy(ch) AS e FROM c GROUP BY 1, 2) SELECT t.msg_id, t.field, round(coalesce(e, 0), 6) AS entropy FROM t LEFT JOIN e USING (msg_id, field)",
     "hdr01_header_rules": f"""WITH f AS (SELECT msg_id, contains({_AUTH}, 'spf=fail') AS spf_fail, contains({_AUTH}, 'dkim=fail') AS dkim_fail, contains({_AUTH}, 'dmarc=fail') AS dmarc_fail,
  {_FROM} <> '' AND {_BACK} <> '' AND {_FROM} <> {_BACK} AS from_return_mismatch, {_FROM} <> '' AND {_REPLY} <> '' AND {_FROM} <> {_REPLY} AS from_reply_mismatch,
  lower(coalesce(from_display, '')) IN ('admin', 'support', 'billing') AND {_FROM} NOT IN ('google.com', 'microsoft.com', 'amazon.com', 'paypal.com') AS display_name_suspicious FROM messages)
 SELECT *, (spf_fail::INT + dkim_fail::INT + dmarc_fail::INT + from_return_mismatch::INT + from_reply_mismatch::INT + display_name_suspicious::INT)::DOUBLE AS fired FROM f""",
-    "con02_edit_distance": f"SELECT domain, of, levenshtein(domain, of) AS distance FROM (SELECT DISTINCT lower(u.domain) AS domain FROM ({_U}) WHERE u.domain <> '') CROSS JOIN (VALUES ('velmora.example'), ('orvane.example'), ('halden.example')) t(of) WHERE levenshtein(domain, of) <= 4",
     "con09_links": rf"""WITH b AS (SELECT msg_id, list_filter(urls, lambda u: trim(coalesce(u.display_text, '')) <> '') AS s, list_filter(list_transform(urls, lambda u: lower(coalesce(u.domain, ''))), lambda d: d <> '') AS doms,
  list_distinct(regexp_extract_all(lower(coalesce(extracted_image_text, '')), '{_DOMAIN}', 1)) AS seen, list_filter(list_transform(coalesce(extracted_qr_urls, []), lambda q: {_HOST.format('q')}), lambda h: h <> '') AS codes, lower(coalesce(visible_text, '')) AS v FROM messages)
 SELECT msg_id, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda u: coalesce(u.display_text_mismatch, false))) / len(s) ELSE 0 END, 6) AS display_href_mismatch,
@@ -119,13 +119,11 @@ SELECT e.mailbox, e.uid, e.subject, e.received_at, coalesce(score, 0) AS score,
     "snk12_actions": "SELECT DISTINCT mailbox, uid, upper(trim(verdict)) AS level, CASE upper(trim(verdict)) WHEN 'BLOCK' THEN 'quarantine' WHEN 'REVIEW' THEN 'mark' WHEN 'FLAG' THEN 'mark' ELSE 'none' END AS action, CASE upper(trim(verdict)) WHEN 'REVIEW' THEN '$Suspicious' WHEN 'FLAG' THEN '$Phishing' END AS flag, upper(trim(verdict)) = 'BLOCK' AS moved FROM verdicts WHERE verdict IS NOT NULL",
     "set01_ordered_distinct": "WITH x AS (SELECT msg_id, list_concat(recipients, cc) AS a FROM messages), y AS (SELECT msg_id, unnest(a) AS v, generate_subscripts(a, 1) AS k FROM x), z AS (SELECT msg_id, v, min(k) AS k FROM y GROUP BY 1, 2), g AS (SELECT msg_id, string_agg(v, ',' ORDER BY k) AS e FROM z GROUP BY 1) SELECT m.msg_id, coalesce(e, '') AS everyone FROM messages m LEFT JOIN g USING (msg_id)",
     "grf01_graph": _EDGES + "SELECT src, dst, type, count(*) AS n FROM e GROUP BY 1, 2, 3",
-    "jon10_ego_radius2": _SENT + """, b AS (SELECT src AS x, dst AS y FROM e WHERE src <> '' AND dst <> '' UNION SELECT dst, src FROM e WHERE src <> '' AND dst <> ''), s AS (SELECT lower(from_addr) AS id FROM messages WHERE msg_id = 1),
+    "jon10_ego_radius2": _EDGES + """, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), s AS (SELECT DISTINCT lower(from_addr) AS id FROM messages WHERE msg_id % 50 = 0 AND from_addr IS NOT NULL),
 f AS (SELECT id AS start, id, 0 AS distance FROM s UNION ALL SELECT s.id, y, 1 FROM s JOIN b ON x = s.id UNION ALL SELECT s.id, b2.y, 2 FROM s JOIN b b1 ON b1.x = s.id JOIN b b2 ON b2.x = b1.y) SELECT start, id, min(distance)::BIGINT AS distance FROM f GROUP BY 1, 2""",
-    "spc03_temporal_edges": _SENT + "SELECT src, dst, type, count(*) AS n, min(t_at) AS first, max(t_at) AS last, round(count(*) / greatest((epoch_us(max(t_at)) - epoch_us(min(t_at))) / 86400e6, 1 / 24), 6) AS per_day FROM e WHERE src <> '' AND dst <> '' GROUP BY 1, 2, 3",
+    "spc03_temporal_edges": _EDGES + "SELECT src, dst, type, count(*) AS n, min(t_at) AS first, max(t_at) AS last, round(count(*) / greatest((epoch_us(max(t_at)) - epoch_us(min(t_at))) / 86400e6, 1 / 24), 6) AS per_day FROM e GROUP BY 1, 2, 3",
     "spc04_shared_hosts": "WITH u AS (SELECT msg_id, unnest(urls) AS u FROM messages) SELECT 'domain:' || lower(u.domain) AS domain, count(DISTINCT u.normalized) AS links, count(DISTINCT msg_id) AS messages FROM u WHERE u.domain <> '' AND u.normalized IS NOT NULL GROUP BY 1",
-    "spc01_close_vectors": "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 AND round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) >= 0.5",
-    "spc02_campaigns": "SELECT 'domain' AS channel, value, count(*) AS messages, 0.35::DOUBLE AS weight, count(*) >= 3 AS promoted FROM (SELECT DISTINCT msg_id, lower(u.domain) AS value FROM (SELECT msg_id, unnest(urls) AS u FROM messages)) WHERE value <> '' GROUP BY 2 HAVING count(*) > 1",
-    "spc07_cheapest_threshold": _LAB + "SELECT bin / 1000 AS threshold, tp, fp, fn, tn, fp * 1.0 + fn * 10.0 AS cost FROM c ORDER BY cost, threshold LIMIT 1",
+    "spc01_close_vectors": "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 AND round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) >= 0.25",
     "spc08_metrics": _LAB + "SELECT bin / 1000 AS threshold, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END, 6) AS fpr FROM c",
     "htm01_structure": "SELECT msg_id, length(body_html) AS html_size, len(regexp_extract_all(body_html, '<a\\s[^>]*href')) AS anchor_count, len(regexp_extract_all(body_html, '<[a-z][^>]*>')) AS dom_node_count FROM messages WHERE body_html <> ''",
     "att03_filename_risk": f"""WITH a AS (SELECT msg_id, unnest(attachments) AS a, generate_subscripts(attachments, 1) - 1 AS pos FROM messages), n AS (SELECT msg_id, pos, coalesce(a.filename, '') AS f, string_split(lower(trim(coalesce(a.filename, ''))), '.') AS p FROM a)
