@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +14,11 @@ from ..policy import Policy
 from ..sources import store
 
 
+def fresh() -> str:
+    """A name that no other run has."""
+    return uuid.uuid4().hex
+
+
 def message_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 10) -> DataFrame:
     """Stream of the Parquet files of a folder with the schema of ``like``; the checkpoint keeps what was read."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
