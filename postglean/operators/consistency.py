@@ -41,38 +41,45 @@ def is_lookalike(domain: Column, domains: tuple[str, ...], folded: Column | None
     return (domain != "") & ~belongs_to(domain, domains) & _any(near)
 
 
-def claims(text: Column, key: str, shown: str) -> Column:
-    low = F.lower(text_or_empty(text))
-    return low.contains(key) | low.contains(shown.lower())
+def identity_base(display: Column, subject: Column, from_addr: Column, reply_to: Column) -> dict[str, Column]:
+    """What the identity features are made of: domains of sender, reply and display name, the text that may claim a brand."""
+    text = F.lower(F.concat_ws(" ", text_or_empty(display), text_or_empty(subject)))
+    return {"sender": clean_domain(from_addr), "reply": clean_domain(reply_to), "shown": domain_in_text(display), "text": text}
 
 
-def identity_features(policy: Policy, display: Column, subject: Column, from_addr: Column, reply_to: Column, folded: Column | None = None, history: Column | None = None) -> dict[str, Column]:
-    """By name: the five identity features, the domain shown in the display name and the brand claimed; ``folded`` may give the folded sender domain, ``history`` its mismatch."""
-    sender, reply = clean_domain(from_addr), clean_domain(reply_to)
-    shown = domain_in_text(display)
-    text = F.concat_ws(" ", text_or_empty(display), text_or_empty(subject))
-    mailing = belongs_to(sender, policy.mailing_domains)
-    visual, other = [], []
+def claimed_brands(policy: Policy, sender: Column, text: Column, folded: Column | None = None) -> tuple[Column, Column]:
+    """Names of the first brand claimed by a sender whose domain resembles its own, and of the first claimed by any other; null without."""
+    own = sender != "" if not policy.mailing_domains else ~belongs_to(sender, policy.mailing_domains)
+    alike, other = [], []
     for key, (name, domains) in policy.brands.items():
-        claimed = claims(text, key, name) & ~belongs_to(sender, domains) & ~mailing
-        alike = is_lookalike(sender, domains, folded)
-        visual.append(claimed & alike)
-        other.append(claimed & ~alike)
-    visual_any, other_any = _any(visual), _any(other)
-    shown_names = [name for name, _ in policy.brands.values()]
-    first = lambda flags: F.coalesce(*[F.when(c, n) for c, n in zip(flags, shown_names)], F.lit(None).cast("string"))
+        claimed = (text.contains(key) | text.contains(name.lower())) & ~belongs_to(sender, domains)
+        near = is_lookalike(sender, domains, folded)
+        alike.append(F.when(claimed & near, name))
+        other.append(F.when(claimed & ~near, name))
+    none = F.lit(None).cast("string")
+    return F.when(own, F.coalesce(*alike, none)), F.when(own, F.coalesce(*other, none))
+
+
+def identity_scores(policy: Policy, sender: Column, reply: Column, shown: Column, visual: Column, other: Column, history: Column | None = None) -> dict[str, Column]:
+    """By name: the five identity features, the domain shown in the display name and the brand claimed."""
     known = belongs_to(reply, tuple(d for _, ds in policy.brands.values() for d in ds))
     differs = (reply != "") & (sender != "") & (reply != sender)
     return {
-        "sender_identity_mismatch": F.greatest(F.when((shown != "") & (sender != "") & (shown != sender), 0.8).otherwise(0.0), F.when(other_any, 0.5).otherwise(0.0)),
+        "sender_identity_mismatch": F.when((shown != "") & (sender != "") & (shown != sender), 0.8).when(other.isNotNull(), 0.5).otherwise(0.0),
         "replyto_identity_mismatch": F.when(~differs, 0.0).when(known, 0.2).when(belongs_to(reply, policy.mailing_domains), 0.15).otherwise(0.7),
-        "brand_domain_mismatch": F.when(visual_any, 0.9).when(other_any, 0.6).otherwise(0.0),
-        "brand_visual_domain_mismatch": F.when(visual_any, 0.9).otherwise(0.0),
+        "brand_domain_mismatch": F.when(visual.isNotNull(), 0.9).when(other.isNotNull(), 0.6).otherwise(0.0),
+        "brand_visual_domain_mismatch": F.when(visual.isNotNull(), 0.9).otherwise(0.0),
         "identity_history_mismatch": (F.lit(0.0) if history is None else F.coalesce(history, F.lit(0.0))),
-        "display_domain": shown, "claimed_brand": first([v | o for v, o in zip(visual, other)]),
+        "display_domain": shown, "claimed_brand": F.coalesce(visual, other),
     }
 
 
+def identity_features(policy: Policy, display: Column, subject: Column, from_addr: Column, reply_to: Column, folded: Column | None = None, history: Column | None = None) -> dict[str, Column]:
+    """:func:`identity_scores` of raw header columns; ``folded`` may give the folded sender domain, ``history`` its mismatch."""
+    b = identity_base(display, subject, from_addr, reply_to)
+    return identity_scores(policy, b["sender"], b["reply"], b["shown"], *claimed_brands(policy, b["sender"], b["text"], folded), history)
+
+
 def link_features(urls: Column, image_text: Column, qr_urls: Column, visible: Column) -> dict[str, Column]:
     """By name: the four link features and what they speak of, over the links with shown text, the image's text and the code's targets."""
     shown = F.filter(urls, lambda u: F.trim(text_or_empty(u["display_text"])) != "")

@@ -75,7 +75,7 @@ def _identity_sql() -> str:
     own = tuple(v for _, vs in p.brands.values() for v in vs)
     return f"""WITH b AS (SELECT msg_id, {text} AS t, {_DOM.format('from_addr')} AS s, {_DOM.format('reply_to')} AS r, lower(regexp_extract(coalesce(from_display, ''), '{_DOMAIN}', 1)) AS shown FROM messages),
 c AS ({' UNION ALL '.join(parts)}),
-g AS (SELECT msg_id, coalesce(bool_or(claimed AND alike), false) AS visual, coalesce(bool_or(claimed AND NOT alike), false) AS other, arg_min(brand, k) FILTER (WHERE claimed) AS brand FROM c GROUP BY 1)
+g AS (SELECT msg_id, coalesce(bool_or(claimed AND alike), false) AS visual, coalesce(bool_or(claimed AND NOT alike), false) AS other, coalesce(arg_min(brand, k) FILTER (WHERE claimed AND alike), arg_min(brand, k) FILTER (WHERE claimed)) AS brand FROM c GROUP BY 1)
 SELECT msg_id, CASE WHEN shown <> '' AND s <> '' AND shown <> s THEN 0.8 WHEN other THEN 0.5 ELSE 0 END::DOUBLE AS sender_identity_mismatch,
  CASE WHEN r = '' OR s = '' OR r = s THEN 0 WHEN {_below('r', own)} THEN 0.2 WHEN {_below('r', p.mailing_domains)} THEN 0.15 ELSE 0.7 END::DOUBLE AS replyto_identity_mismatch,
  CASE WHEN visual THEN 0.9 WHEN other THEN 0.6 ELSE 0 END::DOUBLE AS brand_domain_mismatch, CASE WHEN visual THEN 0.9 ELSE 0 END::DOUBLE AS brand_visual_domain_mismatch, brand AS claimed_brand, shown AS display_domain

@@ -16,6 +16,7 @@ from ..functions.text import TACTICS, normalize_text, phrase_probability, tactic
 from ..functions.urls import suspicion
 from ..operators import attachments, consistency, evidence, fusion, headers, history, intent, markup
 from ..policy import Policy
+from ..session import stored
 
 Detector = Callable[[DataFrame, Policy], DataFrame]
 EMPTY_STRINGS = "array<string>"
@@ -97,19 +98,23 @@ def detect_attachments(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def detect_consistency(rows: DataFrame, policy: Policy) -> DataFrame:
-    a = consistency.identity_features(policy, F.col("from_display"), F.col("subject"), F.col("from_addr"), F.col("reply_to"), F.col("_folded_domain"))
+    base = consistency.identity_base(F.col("from_display"), F.col("subject"), F.col("from_addr"), F.col("reply_to"))
+    rows = once(rows, **{f"_i_{n}": c for n, c in base.items()})
+    visual, other = consistency.claimed_brands(policy, F.col("_i_sender"), F.col("_i_text"), F.col("_folded_domain"))
+    rows = once(rows, _i_visual=visual, _i_other=other)
+    a = consistency.identity_scores(policy, *[F.col(f"_i_{n}") for n in ("sender", "reply", "shown", "visual", "other")])
     b = consistency.link_features(F.col("urls"), F.col("extracted_image_text"), F.col("extracted_qr_urls"), F.col("visible_text"))
     c = consistency.semantic_features(F.col("_head"), F.col("_words"), F.col("urls"), F.col("attachments"))
     made = {**a, **b, **c}
     rows = once(rows, **{n: made[n] for n in (*consistency.FEATURES, "attachment_filename_mime_mismatch")}, **{f"_x_{n}": made[n] for n in ("display_domain", "claimed_brand", "links_shown", "image_domain", "code_domain")})
-    f, sender = F.col, headers.clean_domain(F.col("from_addr"))
+    f, sender = F.col, F.col("_i_sender")
     claim = _said("claims %s from %s", f("_x_claimed_brand"), sender)
     wrong = F.round(f("display_domain_mismatch") * f("_x_links_shown")).cast("int")
     items = [
         (f("sender_identity_mismatch") >= 0.8, "CONSISTENCY", "sender_identity_mismatch", _said("%s vs %s", f("_x_display_domain"), sender), F.lit(0.8), "consistency.identity"),
         (f("brand_visual_domain_mismatch") > 0, "CONSISTENCY", "brand_visual_domain_mismatch", claim, F.lit(0.9), "consistency.identity", "critical", "high"),
         ((f("brand_domain_mismatch") > 0) & (f("brand_visual_domain_mismatch") == 0), "CONSISTENCY", "brand_domain_mismatch", claim, F.lit(0.6), "consistency.identity"),
-        (f("replyto_identity_mismatch") >= 0.5, "CONSISTENCY", "replyto_identity_mismatch", _said("reply-to %s", headers.clean_domain(f("reply_to"))), F.lit(0.7), "consistency.identity"),
+        (f("replyto_identity_mismatch") >= 0.5, "CONSISTENCY", "replyto_identity_mismatch", _said("reply-to %s", f("_i_reply")), F.lit(0.7), "consistency.identity"),
         (f("identity_history_mismatch") >= 0.5, "CONSISTENCY", "identity_history_mismatch", F.lit("name not used by this sender before"), F.lit(0.6), "consistency.identity"),
         (f("display_domain_mismatch") >= 0.5, "CONSISTENCY", "display_href_mismatch", _said("%d/%d links", wrong, f("_x_links_shown")), F.lit(0.9), "consistency.link", "critical", "high"),
         (f("ocr_url_mismatch") >= 0.8, "CONSISTENCY", "ocr_url_mismatch", f("_x_image_domain"), F.lit(0.8), "consistency.link"),
@@ -151,9 +156,9 @@ def detect_behaviour(rows: DataFrame, policy: Policy) -> DataFrame:
     A level depends on history, so row by row only the probability is known: certain and uncertain risk above the
     threshold alike teach nothing here. :func:`learn`, which has the levels, follows them exactly.
     """
-    obs = history.observations(rows.withColumn("learnable", _teaches(fusion.calibrate(F.col("score")), None, policy)))
-    scores = history.behaviour(obs).drop("sender")
-    rows = rows.join(scores.select("msg_id", *history.FEATURES).hint("merge"), "msg_id", "left")
+    obs = stored(history.observations(rows.withColumn("learnable", _teaches(fusion.calibrate(F.col("score")), None, policy))), "observations")
+    scores = stored(history.behaviour(obs).select("msg_id", *history.FEATURES), "history")
+    rows = rows.join(scores.hint("merge"), "msg_id", "left")
     return _evidence(rows, "behavioral", _values(history.FEATURES, "BEHAVIOR", "behavioral", 0.35))
 
 
