@@ -106,7 +106,7 @@ def hdr01(s, d):
 
 def con09(s, d):
     f = con.link_features(F.col("urls"), F.col("extracted_image_text"), F.col("extracted_qr_urls"), F.col("visible_text"))
-    return _m(s, d).select("msg_id", *[F.round(v, 6).alias(k) for k, v in f.items()])
+    return _m(s, d).select("msg_id", *[F.round(f[k], 6).alias(k) for k in ("display_href_mismatch", "display_domain_mismatch", "ocr_url_mismatch", "qr_context_mismatch")])
 
 
 def con10(s, d):
