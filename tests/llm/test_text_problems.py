@@ -307,6 +307,31 @@ def test_abuse_samples_reach_their_bounds(spark):
     assert few["positive"] == d.where("doc_id % 20 = 0").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) >= 3).count()
 
 
+def test_abuse_fits_all_rows(spark):
+    text = lambda i: f"You fool, leave {'it' if i % 3 else 'now'}." if i % 2 == 0 else "All is well. The report is late." if i % 7 else "He wrote fool once."
+    d = rows(spark, [(i, text(i), "s") for i in range(12_500)] + [(20_000, None, "s")], "doc_id bigint, text string, source string")
+    labels = rows(spark, [(i, int(i % 2 == 0), "r") for i in range(12_500)], "doc_id bigint, abusive bigint, rater string")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 3
+    want = {"positive": labels.where(~held & (F.col("abusive") == 1)).count(), "unlabelled": 12_500, "rated": labels.where(held).count()}
+    assert want["positive"] > 3_000 and want["rated"] > 3_000
+    on_driver = abuse.fit(d, labels)
+    assert {k: v for k, v in on_driver.size.items() if k != "rounds"} == want
+    in_tasks = abuse.fit(d, labels, near=0)
+    assert (in_tasks.bias, in_tasks.cut, in_tasks.prior, in_tasks.size) == (on_driver.bias, on_driver.cut, on_driver.prior, on_driver.size)
+    assert np.array_equal(in_tasks.weights, on_driver.weights)
+    a, b = (abuse.scored(x, in_tasks).collect() for x in (d, abuse.read(d)))
+    assert sorted(a) == sorted(b) and {r.doc_id for r in a if r.abusive} == set(range(0, 12_500, 2))
+
+
+def test_abuse_counts_terms_once_a_document(spark):
+    texts = ["a b. a b c", "c a", None, "", "b b a", "zz c"]
+    read = abuse.read(rows(spark, [(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string"))
+    got = dict(zip(*(x.tolist() for x in abuse._counted(read.where("words is not null").withColumn("part", F.when(F.col("doc_id") < 1, 0).otherwise(1)))[:2])))
+    one = {w: abuse.hashed(w) for w in "abc"}
+    assert got == {one["a"]: 1, one["c"]: 1}
+    assert abuse.best_cut(np.array([-3000, -2000]), np.array([5, 1]), np.array([1000, 2000]), np.array([2, 2])) == (abuse._sigmoid(1.0) + abuse._sigmoid(-2.0)) / 2
+
+
 def test_names_of_all_messages(spark):
     hot = [(i, "News", "news@x.test", None, None) for i in range(40_000)]
     rare = [(40_000 + i, "Ottilie Marwick", "ottilie.marwick@x.test", "Dear Ottilie,\n\nok", None) for i in range(2)]
